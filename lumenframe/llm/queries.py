@@ -7,21 +7,57 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import simhash
+from lumenframe.llm import bpe, exact, html, langid, merkle, mixing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(_documents(spark, sf_dir))
+    found = simhash.near_duplicates(_table(spark, sf_dir))
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted, _ = mixing.with_copies(_table(spark, sf_dir))
+    return counted.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir).withColumn("held_out", F.coalesce(langid.held_out(), F.lit(False)))
+    model = langid.train(docs.filter(~F.col("held_out")))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(_table(spark, sf_dir))
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_table(spark, sf_dir))
+
+
+def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.neighbour_likeness(_table(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
+    "op4_html_extraction": op4_html_extraction,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_source_mixing": op6_source_mixing,
+    "op7_language_id": op7_language_id,
+    "op8_exact_dedup": op8_exact_dedup,
+    "op9_byte_bpe": op9_byte_bpe,
+    "op10_merkle_fingerprints": op10_merkle_fingerprints,
+}
+ORACLE: dict[str, str] = {
+    "op6_source_mixing": mixing.ORACLE,
+    "op8_exact_dedup": exact.ORACLE,
 }
-ORACLE: dict[str, str] = {}

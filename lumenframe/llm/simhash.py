@@ -202,6 +202,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of `docs`, columns as they are, without those that a component of near duplicates has beside its least doc_id.
+
+    Rows with a null doc_id stay; rows repeated with one doc_id stay or go together.
+    """
+    found = near_duplicates(docs, id_col, text_col, shingle, radius)
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+
+
 def hex16(fp: Column) -> Column:
     """A 64-bit number as 16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
