@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import bpe, exact, html, langid, merkle, mixing, simhash
+from lumenframe.llm import backoff, bpe, exact, html, langid, lines, merkle, mixing, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.duplicate_lines(_table(spark, sf_dir))
+
+
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.score(_table(spark, sf_dir))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir).select("doc_id", "text")
+    return quality.score(docs, quality.train(docs))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
 
@@ -49,6 +62,9 @@ def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_lm_scoring": op2_lm_scoring,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_html_extraction": op4_html_extraction,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_source_mixing": op6_source_mixing,
