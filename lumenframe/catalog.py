@@ -2,42 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lumenframe.queries import aggregates, elements, facades, joins, selection, shapes, windows
+from lumenframe.queries.registry import ORACLE, QUERIES, Query, register, table
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Put a query in the catalog under `name`, with its SQL twin where there is one."""
-
-    def add(query: Query) -> Query:
-        QUERIES[name] = query
-        if sql:
-            ORACLE[name] = sql
-        return query
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@register(
-    "pricing_summary",
-    """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price,
-    round(avg(l_extendedprice), 6) AS avg_price, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""",
-)
-def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").filter("l_shipdate <= timestamp_ntz'1998-09-02'")
-    return lines.groupBy("l_returnflag", "l_linestatus").agg(
-        F.round(F.sum("l_quantity"), 2).alias("sum_qty"),
-        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_disc_price"),
-        F.round(F.avg("l_extendedprice"), 6).alias("avg_price"),
-        F.count("*").alias("n"),
-    )
+__all__ = ["ORACLE", "QUERIES", "Query", "aggregates", "elements", "facades", "joins", "register", "selection", "shapes", "table", "windows"]
