@@ -4,11 +4,13 @@ Two different lines are linked if at most EDITS insertions, deletions and replac
 and at most a fifth of the longer one's length. The shorter line of such a pair, cut into one segment more than edits are
 allowed, has a segment that the longer one holds unchanged near its place; so each line is indexed by its segments and
 probes with the few substrings that can meet a segment of a line of each possible length. Keys are dealt by hash in packed
-form, so that a key held by many copies of a line costs each sender one entry. Candidates are verified exactly by a banded
-bit-parallel edit distance. Classes are the connected components of the links; of a class the first line stays.
+form, so that a key held by many copies of a line costs each sender one entry. An entry carries a signature, how often its
+line has the characters of each of 16 kinds: an edit moves two of these counts by one at most, so pairs whose signatures lie
+further apart go where they meet. What is left is verified exactly by a banded bit-parallel edit distance. Classes are the
+connected components of the links; of a class the first line stays.
 
-Cost: a segment that many distinct lines of like length share gives candidates as the product of both sides, all of which
-are verified.
+Cost: where many distinct lines of like length share a segment, their signatures are compared in blocks, each with each; only
+those that may be linked leave the task.
 """
 
 from __future__ import annotations
@@ -79,6 +81,23 @@ def entries(code: np.ndarray, start: np.ndarray, length: np.ndarray, edits: int
                 yield key(at, at + n[fit], size[own[fit]], k), own[fit], True
 
 
+def signatures(code: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Counts, modulo 4, of the characters of 16 kinds in each line, two bits for each kind."""
+    n = len(start)
+    at = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())
+    kind = (code[at] * np.uint32(2654435761)) >> np.uint32(28)
+    count = np.bincount(np.repeat(np.arange(n), length) * 16 + kind, minlength=16 * n).reshape(n, 16) & 3
+    return (count.astype(np.uint32) << np.arange(0, 32, 2, dtype=np.uint32)).sum(1, dtype=np.uint32)
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sum over the kinds of how far two signatures' counts are apart; at most twice the edits between the lines."""
+    high, low = np.uint32(0xAAAAAAAA), np.uint32(0x55555555)
+    gap = ((a | high) - (b & low)) ^ ((a ^ ~b) & high)
+    odd, two = gap & low, (gap >> np.uint32(1)) & low
+    return np.bitwise_count(odd) + 2 * np.bitwise_count(two & ~odd)
+
+
 def distances(pairs: list[tuple[str, str]], most: int = EDITS) -> np.ndarray:
     """Edit distance of each pair, exact up to `most`, greater than `most` where it is greater.
 
@@ -167,17 +186,19 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
         ids: list[np.ndarray] = []
+        signs: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            key, line = np.concatenate(keys), np.concatenate(ids)
+            key, line, sign = np.concatenate(keys), np.concatenate(ids), np.concatenate(signs)
             order = np.argsort(key)
-            key, line = key[order], line[order]
+            key, line, sign = key[order], line[order], sign[order]
             cut = np.searchsorted(key, np.array([k * 2**64 // buckets for k in range(1, buckets)], np.uint64))
             cut = np.concatenate(([0], cut, [len(key)]))
             some = np.flatnonzero(np.diff(cut))
-            data = [key[cut[b] : cut[b + 1]].tobytes() + line[cut[b] : cut[b + 1]].tobytes() for b in some]
+            data = [b"".join(x[cut[b] : cut[b + 1]].tobytes() for x in (key, line, sign)) for b in some]
             keys.clear()
             ids.clear()
+            signs.clear()
             return pa.RecordBatch.from_arrays([pa.array(some), pa.array(data, pa.binary())], ["bucket", "data"])
 
         for batch in batches:
@@ -199,20 +220,23 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits
                 start, end = start[first], end[first]
                 lead = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
                 code = np.frombuffer(raw.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+                sign = signatures(code, lead[start], lead[end] - lead[start])
                 for key, own, probing in entries(code, lead[start], lead[end] - lead[start], edits):
                     keys.append(key & ~np.uint64(1) | np.uint64(probing))
                     ids.append(line[own])
+                    signs.append(sign[own])
                 if sum(map(len, keys)) > FLUSH:
                     yield flush()
         if keys:
             yield flush()
 
     def meet(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, np.uint64) for x in table.column("data").to_pylist()]
-        key = np.concatenate([x[: len(x) // 2] for x in parts])
-        line = np.concatenate([x[len(x) // 2 :] for x in parts])
+        parts = [(x, len(x) // 20) for x in table.column("data").to_pylist()]
+        key = np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in parts])
+        line = np.concatenate([np.frombuffer(x, np.uint64, n, 8 * n) for x, n in parts])
+        sign = np.concatenate([np.frombuffer(x, np.uint32, n, 16 * n) for x, n in parts])
         order = np.argsort(key, kind="stable")
-        key, line = key[order], line[order]
+        key, line, sign = key[order], line[order], sign[order]
         group = key >> np.uint64(1)
         new = np.ones(len(key), bool)
         new[1:] = group[1:] != group[:-1]
@@ -220,16 +244,16 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits
         size = np.diff(np.append(at, len(key)))
         both = ((key[at] & np.uint64(1)) == 0) & ((key[at + size - 1] & np.uint64(1)) == 1) & (size > 1)
         keep = np.repeat(both, size)
-        key, line = key[keep], line[keep]
+        key, line, sign = key[keep], line[keep], sign[keep]
         order = np.lexsort((line, key))
-        key, line = key[order], line[order]
+        key, line, sign = key[order], line[order], sign[order]
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
-        key, line = key[fresh], line[fresh]
+        key, line, sign = key[fresh], line[fresh], sign[fresh]
         probe = (key & np.uint64(1)) == 1
         held, asked = key[~probe] >> np.uint64(1), key[probe] >> np.uint64(1)
         low, high = np.searchsorted(held, asked), np.searchsorted(held, asked, side="right")
-        index_line, probe_line = line[~probe], line[probe]
+        index_line, probe_line, index_sign, probe_sign = line[~probe], line[probe], sign[~probe], sign[probe]
         many = high - low
         pairs = np.zeros((0, 2), np.int64)
         total = np.concatenate(([0], np.cumsum(many)))
@@ -237,9 +261,10 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits
         while i < len(many):
             j = max(i + 1, int(np.searchsorted(total, total[i] + 2_000_000, side="right")) - 1)
             k = np.repeat(low[i:j] - (total[i:j] - total[i]), many[i:j]) + np.arange(total[j] - total[i])
-            a, b = index_line[k].view(np.int64), np.repeat(probe_line[i:j], many[i:j]).view(np.int64)
-            apart = a != b
-            got = np.stack((np.minimum(a, b)[apart], np.maximum(a, b)[apart]), 1)
+            near = apart(index_sign[k], np.repeat(probe_sign[i:j], many[i:j])) <= 2 * edits
+            a, b = index_line[k[near]].view(np.int64), np.repeat(probe_line[i:j], many[i:j])[near].view(np.int64)
+            other = a != b
+            got = np.stack((np.minimum(a, b)[other], np.maximum(a, b)[other]), 1)
             pairs = np.unique(np.concatenate((pairs, got)), axis=0) if len(got) else pairs
             i = j
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
