@@ -121,8 +121,9 @@ class Trust:
         return np.stack((share[:, 0, 1] / share[:, :, 1].sum(1), share[:, 1, 2] / share[:, :, 2].sum(1)), 1)
 
 
-#: Rates of (no, bad, good) votes in bad and good documents to begin with, and how many documents they weigh.
-FIRST = np.array([[0.2, 0.3, 0.5], [0.18, 0.02, 0.8]])
+#: Rates of (no, bad, good) votes in bad and good documents to begin with, of labellers that speak for documents and of the
+#: others, and how many documents they weigh.
+FIRST = np.array([[[0.2, 0.3, 0.5], [0.18, 0.02, 0.8]] if name in SPEAK_FOR else [[0.7, 0.3, 0.0], [0.98, 0.02, 0.0]] for name in LABELLERS])
 FIRST_WEIGHT = 20
 
 
@@ -132,7 +133,7 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     A labeller that stays silent is evidence too, weak where it speaks of a rare defect.
     """
     cast = (patterns[:, None] // _POWERS) % 3
-    prior, rate = 0.8, np.tile(FIRST, (len(LABELLERS), 1, 1))
+    prior, rate = 0.8, np.maximum(FIRST, 1e-4)
     for _ in range(rounds):
         p = _posterior(cast, prior, rate)
         weight = np.stack(((1 - p) * counts, p * counts), 1)
@@ -184,6 +185,8 @@ def _margins(raw: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.nd
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
     """Logistic regression with soft targets by AdaGrad; a row is (features, values). The last weight is the bias."""
     weights, seen = np.zeros(FEATURES + 1), np.full(FEATURES + 1, 1e-6)
+    if not rows:
+        return weights
     rng = np.random.default_rng(5)
     for _ in range(epochs):
         for batch in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 64)):
