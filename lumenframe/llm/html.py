@@ -3,7 +3,8 @@
 A page becomes a list of text blocks in page order, each with its path of block-level tags from the root. For each path the
 text length and the punctuation of all its blocks are summed and divided by the number of blocks; both ratios are smoothed
 along the page, fused by their product, and compared to a threshold taken from their spread. The blocks of the chosen paths
-give the element that holds nearly all of them, and the headings and short blocks next to them inside it are kept too.
+give the element that holds nearly all of them; unless that is the whole body, what else it holds is kept too but for lists
+of links, and so are headings and short blocks next to chosen ones.
 What its tag or its class says is no article (menus, notices, comments, forms ...) never takes part.
 """
 
@@ -33,6 +34,8 @@ DROPPED_WORDS = frozenset(
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login comment comments disqus reply replies "
     "respond share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager toolbar widget copyright disclaimer skip hidden".split()
 )
+#: A header is one of the site, and set aside, unless it is in an article or its class or id has one of these.
+ARTICLE_WORDS = frozenset("article post entry story content main title".split())
 #: A start tag that ends an open element of these.
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"),
@@ -61,6 +64,8 @@ def _boilerplate(tag: str, attributes: str, inside_article: bool) -> tuple[bool,
                 words = {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", value)}
                 if words & DROPPED_WORDS and tag not in ("article", "main"):
                     return True, tag
+                if "header" in words and not inside_article and not words & ARTICLE_WORDS and tag not in HEADINGS:
+                    return True, tag
                 if key == "class":
                     names = "." + ".".join(sorted(value.split()))
     return False, tag + names
@@ -75,11 +80,12 @@ class Block:
         self.path, self.inside, self.tag, self.text, self.linked = path, inside, tag, text, linked
 
 
-def blocks(page: str) -> tuple[list[Block], set[int]]:
-    """All text blocks that may be content, in page order, and the numbers of article and main elements."""
+def blocks(page: str) -> tuple[list[Block], set[int], set[int]]:
+    """All text blocks that may be content, in page order, and the numbers of article and main elements and of html and body."""
     stack: list[tuple[str, int, bool, str]] = []  # tag, number, set aside, path
     out: list[Block] = []
     articles: set[int] = set()
+    whole: set[int] = set()
     parts: list[str] = []
     linked = links = number = 0
     at, end = 0, len(page)
@@ -158,10 +164,12 @@ def blocks(page: str) -> tuple[list[Block], set[int]]:
         above = stack[-1] if stack else ("", 0, False, "")
         if tag in ("article", "main") or re.search(r"role\s*=\s*[\"']?(?:main|article)\b", m[3] or ""):
             articles.add(number)
+        elif tag in ("html", "body"):
+            whole.add(number)
         if not m[3].endswith("/"):
             stack.append((tag, number, above[2] or aside, f"{above[3]}/{step}"))
     flush()
-    return out, articles
+    return out, articles, whole
 
 
 def _smooth(values: np.ndarray) -> np.ndarray:
@@ -177,7 +185,7 @@ def main_text(page: str | None) -> str:
     """
     if not page:
         return ""
-    found, articles = blocks(page)
+    found, articles, whole = blocks(page)
     if articles and (within := [b for b in found if articles.intersection(b.inside)]):
         outer = [b for b in within if b.linked <= 0.6 * len(b.text) or b.tag in HEADINGS]
         found = outer or within
@@ -203,7 +211,8 @@ def main_text(page: str | None) -> str:
     kept = []
     for b in found:
         inside = not root or root in b.inside
-        if inside and (chosen[paths[b.path]] or ((b.tag in HEADINGS or homes.intersection(b.inside[-2:])) and b.linked <= 0.5 * len(b.text)) or articles.intersection(b.inside)):
+        part = root not in whole and root in b.inside or b.tag in HEADINGS or homes.intersection(b.inside[-2:])
+        if inside and (chosen[paths[b.path]] or (part and b.linked <= 0.5 * len(b.text)) or articles.intersection(b.inside)):
             kept.append(b.text)
     return "\n\n".join(kept)
 
