@@ -1,6 +1,7 @@
 """Stupid-backoff scores: n-gram count tables partitioned by hash, joined to the n-grams of the documents, summed per document.
 
-Documents are dealt into blocks by hash. A block's distinct n-grams of all orders, sorted by a 64-bit hash, are cut at fixed
+Documents are dealt into blocks by hash, compressed, so that a text costs the shuffle some third of its bytes. A block's
+distinct n-grams of all orders, sorted by a 64-bit hash, are cut at fixed
 hash bounds into buckets; a block sends each bucket one row that holds its hashes and counts in packed form (some six bytes
 for an n-gram, a tenth of a row's cost). A bucket adds up the counts of all blocks, which is the count table's part there,
 and answers each block with the totals in the order of its hashes. The block meets the answers in a co-grouped join and
@@ -11,6 +12,7 @@ no phrase is hot. All counts cover the whole corpus.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,8 @@ ORDER = 3
 BACKOFF = 0.4
 #: Bytes of text in a block, about; what a worker holds at once follows it.
 BLOCK_BYTES = 12 << 20
+#: Bytes of text that a task gathers before it deals them to the blocks.
+DEAL_BYTES = 32 << 20
 #: N-grams of all blocks that a bucket should have, about.
 BUCKET_GRAMS = 1_000_000
 _SEEDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -41,6 +45,8 @@ def grams(texts: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarray, np
         doc.append((of + i).astype(np.int32))
     word, of = np.concatenate(first or [np.zeros(0, np.uint64)]), np.concatenate(doc or [np.zeros(0, np.int32)])
     place = np.arange(len(of)) - np.searchsorted(of, of)
+    if not len(word):
+        return [np.zeros(0, np.uint64)] * order, of, place.astype(np.int32)
     out, run = [], np.zeros(len(word), np.uint64)
     for n in range(order):
         if n:
@@ -104,6 +110,50 @@ def scores(total: list[np.ndarray], own: list[np.ndarray], place: np.ndarray, wo
     return out
 
 
+def dealt_rows(rows: DataFrame, deal_bytes: int = DEAL_BYTES) -> DataFrame:
+    """(block, ids, sizes, data) out of (block, doc_id, text): the documents that a task has for a block, their texts compressed."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            block = table.column("block").to_numpy()
+            order = np.argsort(block, kind="stable")
+            table = table.take(pa.array(order))
+            block = block[order]
+            cut = np.append(np.flatnonzero(np.diff(block, prepend=block[0] - 1)), len(block))
+            ids = table.column("doc_id").combine_chunks()
+            raw, at = spans.flat(table.column("text").combine_chunks())
+            lists = pa.array(cut, pa.int32())
+            data = [np.array([at[j] - at[i]], np.int64).tobytes() + (pa.compress(raw[at[i] : at[j]].tobytes(), "zstd", asbytes=True) if at[j] > at[i] else b"") for i, j in zip(cut, cut[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(block[cut[:-1]]), pa.ListArray.from_arrays(lists, ids), pa.ListArray.from_arrays(lists, pa.array(np.diff(at))), pa.array(data, pa.binary())], ["block", "ids", "sizes", "data"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size > deal_bytes:
+                yield from flush()
+                size = 0
+        if held:
+            yield from flush()
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("block", "doc_id", "text").mapInArrow(deal, f"block bigint, ids array<{kind}>, sizes array<bigint>, data binary")
+
+
+def gathered(table: pa.Table) -> tuple[pa.Array, pa.Array]:
+    """Ids and texts of a block's dealt rows."""
+    ids = pa.concat_arrays([x.flatten() for x in table.column("ids").chunks])
+    sizes = np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in table.column("sizes").chunks])
+    texts = b"".join(pa.decompress(x[8:], int(np.frombuffer(x, np.int64, 1)[0]), "zstd", asbytes=True) if len(x) > 8 else b"" for x in table.column("data").to_pylist())
+    at = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+    return ids, pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(at.tobytes()), pa.py_buffer(texts))
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, factor: float = BACKOFF, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score, n_full) of each row: the sum and mean of log S over its words, and how
     many words found their whole n-gram in other texts.
@@ -119,11 +169,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     buckets = max(1, order * (words or 0) // BUCKET_GRAMS)
     bound = [int(k * 2**64 // buckets) for k in range(1, buckets)]
     kind = docs.schema[id_col].dataType.simpleString()
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(blocks)))
+    dealt = dealt_rows(rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(blocks))))
 
     def ask(table: pa.Table) -> pa.Table:
         number = table.column("block")[0].as_py()
-        every, _, _ = grams(table.column("text").combine_chunks(), order)
+        every, _, _ = grams(gathered(table)[1], order)
         out = {"bucket": [], "block": [], "n": [], "data": []}
         for n, h in enumerate(every):
             kinds, count = np.unique(h[n:], return_counts=True)
@@ -155,7 +205,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         return pa.table({"block": table.column("block"), "n": table.column("n"), "bucket": table.column("bucket"), "data": pa.array(answers, pa.binary())})
 
     def tell(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        every, of, place = grams(texts.column("text").combine_chunks(), order)
+        ids, body = gathered(texts)
+        rows = len(ids)
+        every, of, place = grams(body, order)
         told: dict[int, list[tuple[int, bytes]]] = {}
         for n, b, data in zip(*(answers.column(c).to_pylist() for c in ("n", "bucket", "data"))):
             told.setdefault(n, []).append((b, data))
@@ -171,12 +223,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
                 raise RuntimeError("a block's rows changed between two reads of the documents")
             total.append(counts[rank])
             own.append(_own(of, rank, len(kinds)))
-        lengths = np.bincount(of, minlength=texts.num_rows)
+        lengths = np.bincount(of, minlength=rows)
         each = scores(total, own, place, (words or 0) - lengths[of], factor)
-        sums = np.bincount(of, each, minlength=texts.num_rows)
-        full = np.bincount(of, (total[-1] - own[-1] > 0) & (place >= order - 1), minlength=texts.num_rows).astype(np.int64)
+        sums = np.bincount(of, each, minlength=rows).astype(np.float64)
+        full = np.bincount(of, (total[-1] - own[-1] > 0) & (place >= order - 1), minlength=rows).astype(np.int64)
         mean = pa.array(sums / np.maximum(lengths, 1), mask=lengths == 0)
-        return pa.table({"doc_id": texts.column("doc_id"), "n_words": lengths, "log_score": sums, "mean_log_score": mean, "n_full": full})
+        return pa.table({"doc_id": ids, "n_words": lengths, "log_score": sums, "mean_log_score": mean, "n_full": full})
 
     asked = dealt.groupBy("block").applyInArrow(ask, "bucket bigint, block bigint, n int, data binary")
     answers = asked.groupBy("bucket").applyInArrow(add, "block bigint, n int, bucket bigint, data binary")
