@@ -39,11 +39,11 @@ class Table:
 
     @property
     def columns(self) -> list[str]:
-        return self.sdf.columns
+        return [c for c in self.sdf.columns if not c.startswith("__")]
 
     @property
     def schema(self) -> dict[str, str]:
-        return dict(self.sdf.dtypes)
+        return {c: k for c, k in self.sdf.dtypes if c in self.columns}
 
     @property
     def height(self) -> int:
@@ -90,7 +90,11 @@ class Table:
         """Missing values come first unless they are asked to be last."""
         ways = [descending] * len(by) if isinstance(descending, bool) else list(descending)
         keys = [(_c(b).desc_nulls_last() if nulls_last else _c(b).desc_nulls_first()) if d else (_c(b).asc_nulls_last() if nulls_last else _c(b).asc_nulls_first()) for b, d in zip(by, ways, strict=True)]
-        return self._new(self.sdf.orderBy(*keys))
+        return self._resorted(self.sdf.orderBy(*keys))
+
+    def _resorted(self, sdf: DataFrame) -> Table:
+        """A table whose order is that of its rows as they now are; hidden increasing numbers stand for it."""
+        return Table(sdf.drop("__ord__").withColumn("__ord__", F.monotonically_increasing_id()), ["__ord__"])
 
     def drop(self, *names: str) -> Table:
         return self._new(self.sdf.drop(*names))
@@ -135,7 +139,7 @@ class Table:
         return self._new(reshaping.gather_every(self.sdf, n, self.order, offset))
 
     def reverse(self) -> Table:
-        return self._new(sorting.reverse(self.sdf, self.order))
+        return self._resorted(sorting.reverse(self.sdf, self.order))
 
     def sample(self, n: int | None = None, fraction: float | None = None, seed: int = 0, with_replacement: bool = False) -> Table:
         return self._new(selecting.sample(self.sdf, n, fraction, with_replacement, None, seed))
@@ -150,10 +154,10 @@ class Table:
         return self._new(reshaping.with_row_index(self.sdf, self.order, name, offset))
 
     def row(self, at: int) -> tuple:
-        return tuple(selecting.iloc(self.sdf, at, self.order).first())
+        return tuple(selecting.iloc(self.sdf, at, self.order).select(*[f"`{c}`" for c in self.columns]).first())
 
     def rows(self) -> list[tuple]:
-        return [tuple(r) for r in (self.sdf.orderBy(*self.order) if self.order else self.sdf).collect()]
+        return [tuple(r) for r in (self.sdf.orderBy(*self.order) if self.order else self.sdf).select(*[f"`{c}`" for c in self.columns]).collect()]
 
     def drop_nulls(self, subset: Sequence[str] | None = None) -> Table:
         return self._new(self.sdf.dropna(subset=list(subset) if subset else None))

@@ -206,7 +206,9 @@ def sample(df: DataFrame, n: int | None = None, frac: float | None = None, repla
     if replace:
         total = df.count()
         return positions(df, [u]).join(df.sparkSession.range(n).select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(total, 1))).alias(POSITION)), POSITION).drop(POSITION)
-    return df.orderBy(u if weights is None else (-F.log(u) / F.col(weights))).limit(n)
+    if weights is None:
+        return df.orderBy(u).limit(n)
+    return df.filter(F.col(weights) > 0).orderBy(-F.log(u) / F.col(weights)).limit(n)
 
 
 def equals(a: DataFrame, b: DataFrame) -> bool:

@@ -39,6 +39,8 @@ def read_csv(
     """Splits of lines in parallel. `on_bad_lines`: error, or skip. `parse_dates`: {column: strftime pattern, or "" to guess}."""
     r = spark.read.option("sep", sep).option("header", bool(header)).option("quote", quotechar).option("escape", escapechar).option("multiLine", multiline).option("encoding", encoding).option("mode", "FAILFAST" if on_bad_lines == "error" else "DROPMALFORMED")
     r = r.option("ignoreLeadingWhiteSpace", skipinitialspace)
+    if on_bad_lines != "error":
+        r = r.option("columnPruning", False)  # else a line is only bad if a column that is asked for is
     if na_values is not None:
         r = r.option("nullValue", na_values)
     if comment:

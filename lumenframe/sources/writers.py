@@ -17,7 +17,7 @@ def to_parquet(df: DataFrame, path: str, partition_cols: Sequence[str] = (), com
 
 def to_csv(df: DataFrame, path: str, sep: str = ",", header: bool = True, na_rep: str = "", single: bool = False, mode: str = "overwrite", **options: object) -> None:
     """A folder of files; `single` makes it one file, which one task writes."""
-    (df.coalesce(1) if single else df).write.mode(mode).option("sep", sep).option("header", header).option("nullValue", na_rep).options(**options).csv(path)
+    (df.coalesce(1) if single else df).write.mode(mode).option("sep", sep).option("header", header).option("nullValue", na_rep).option("escape", '"').options(**options).csv(path)
 
 
 def to_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:

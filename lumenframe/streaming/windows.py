@@ -19,23 +19,28 @@ def read_stream(spark: SparkSession, path: str, schema: StructType | str, fmt: s
     return (r.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else r).format(fmt).load(path)
 
 
+def _late(df: DataFrame, on: str, late: str | None) -> DataFrame:
+    """A watermark, which wants an instant: times without zone are taken as UTC."""
+    return df.withColumn(on, F.col(on).cast("timestamp")).withWatermark(on, late) if late else df
+
+
 def tumbling(df: DataFrame, on: str, size: str, aggs: dict[str, Column], by: Sequence[str] = (), slide: str | None = None, late: str | None = None) -> DataFrame:
     """(window start, window end, by..., aggregates) of each window of `size`, every `slide`; rows later than `late` are not waited for."""
-    df = df.withWatermark(on, late) if late else df
+    df = _late(df, on, late)
     out = df.groupBy(F.window(on, size, slide) if slide else F.window(on, size), *by).agg(*[v.alias(k) for k, v in aggs.items()])
     return out.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *by, *aggs)
 
 
 def sessions(df: DataFrame, on: str, gap: str, aggs: dict[str, Column], by: Sequence[str] = (), late: str | None = None) -> DataFrame:
     """Windows that end when nothing came for `gap`."""
-    df = df.withWatermark(on, late) if late else df
+    df = _late(df, on, late)
     out = df.groupBy(F.session_window(on, gap).alias("session"), *by).agg(*[v.alias(k) for k, v in aggs.items()])
     return out.select(F.col("session.start").alias("start"), F.col("session.end").alias("end"), *by, *aggs)
 
 
 def distinct(df: DataFrame, on: str, keys: Sequence[str], late: str) -> DataFrame:
     """The first row of each key; keys are remembered as long as the watermark asks."""
-    return df.withWatermark(on, late).dropDuplicatesWithinWatermark(list(keys))
+    return _late(df, on, late).dropDuplicatesWithinWatermark(list(keys))
 
 
 def running(df: DataFrame, key: str, value: str, key_type: str = "bigint") -> DataFrame:
