@@ -36,7 +36,7 @@ def read_csv(
     na_values: str | None = None, quotechar: str = '"', escapechar: str = '"', comment: str | None = None, skipinitialspace: bool = False, multiline: bool = False, parse_dates: dict[str, str] | None = None, compression: str | None = None,
     encoding: str = "utf-8", on_bad_lines: str = "error", nrows: int | None = None, samplingRatio: float = 1.0,
 ) -> DataFrame:
-    """Splits of lines in parallel. `on_bad_lines`: error, or skip. `parse_dates`: {column: strftime pattern, or "" to guess}."""
+    """Splits of lines in parallel. `on_bad_lines`: error, or skip (a bare count parses no line, so it finds none bad). `parse_dates`: {column: strftime pattern, or "" to guess}."""
     r = spark.read.option("sep", sep).option("header", bool(header)).option("quote", quotechar).option("escape", escapechar).option("multiLine", multiline).option("encoding", encoding).option("mode", "FAILFAST" if on_bad_lines == "error" else "DROPMALFORMED")
     r = r.option("ignoreLeadingWhiteSpace", skipinitialspace)
     if on_bad_lines != "error":
