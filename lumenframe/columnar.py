@@ -453,7 +453,8 @@ class Vector:
 
     def implode(self) -> Table:
         t = self.table_of()
-        return Table(t.sdf.agg(F.transform(F.sort_array(F.collect_list(F.struct(*t.order, F.col(self.name)))), lambda r: r[self.name]).alias(self.name)))
+        row = F.struct(*[F.col(f"`{c}`").alias(f"o{k}") for k, c in enumerate(t.order)], F.col(f"`{self.name}`").alias("v"))
+        return Table(t.sdf.agg(F.transform(F.sort_array(F.collect_list(row)), _field("v")).alias(self.name)))
 
     # Element-wise
 

@@ -6,15 +6,20 @@ range is worked on by itself, and only one row of totals for each range, or a fe
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Rows of a block of a sliding frame, about.
 BLOCK_ROWS = 200_000
+#: Rows of a range, at least; ranges for each shuffle partition; sampled rows for each range.
+RANGE_ROWS, RANGES, SAMPLED = 200_000, 4, 20
 POSITION = "__pos"
 
 
@@ -31,11 +36,52 @@ def keys(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(f"`{c}`").asc_nulls_last() if isinstance(c, str) else c for c in order]
 
 
+def _plain_scan(df: DataFrame) -> bool:
+    """Whether the plan is scans, projections and filters alone, which it is cheap to read again with fewer columns."""
+    nodes = {re.match(r"[\s:+\-]*(\w+)", x)[1] for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if re.match(r"[\s:+\-]*\w", x)}
+    return nodes <= {"Relation", "LogicalRelation", "Project", "Filter", "Range"}
+
+
+def _number(df: DataFrame, key: str | Column) -> Column | None:
+    """The key as a double in the same order; None where its kind has none."""
+    kind = dict(df.dtypes).get(key) if isinstance(key, str) else None
+    if kind is None:
+        return None
+    c = F.col(f"`{key}`")
+    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+        return c.cast("double")
+    return F.unix_micros(c.cast("timestamp")).cast("double") if kind in ("timestamp", "timestamp_ntz", "date") else None
+
+
+def _sampled_ranges(df: DataFrame, number: Column) -> DataFrame:
+    """__range by bounds from a sample of the key, which the driver draws once, so that every reading agrees on them."""
+    spark = df.sparkSession
+    total = df.count()
+    n = max(1, min(RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")), total // RANGE_ROWS))
+    if n == 1:
+        return df.withColumn("__range", F.lit(0))
+    drawn = df.select(number.alias("k")).filter("k is not null")
+    values = np.sort(np.array([r[0] for r in drawn.sample(min(1.0, SAMPLED * n / total), 17).collect()]))
+    bounds = np.unique(values[np.linspace(0, len(values), n, endpoint=False).astype(int)[1:]]) if len(values) else values
+
+    @F.pandas_udf("int")  # type: ignore[call-overload]
+    def place(k: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, k.fillna(np.inf).to_numpy(np.float64), side="right").astype(np.int32))
+
+    return df.withColumn("__range", place(number))
+
+
 def ranged(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
-    """`df` dealt into ranges of the order and sorted there; __range is the number of the range.
+    """`df` with __range, the number of the range of the order that a row is in; equal first keys share a range.
 
-    The ranges come from a sample that differs from run to run, so the rows are checkpointed before a number is relied on.
+    Over a plain scan and a numeric or time key the bounds are drawn from a sample, and nothing is written: what is done with
+    the numbers reads the scan again, each time only the columns that it needs. Otherwise the rows are dealt by Spark's own
+    range partitioning, whose bounds differ from run to run, and checkpointed before a number is relied on; chains of such
+    operators then compute nothing twice.
     """
+    number = _number(df, order[0])
+    if number is not None and _plain_scan(df):
+        return _sampled_ranges(df, number)
     by = keys(order)
     return checkpoint(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__range", F.spark_partition_id()))
 

@@ -50,6 +50,21 @@ def test_scan_agrees_with_one_window(numbers):
         assert (r.s, r.l, r.n) == (total, last, n)
 
 
+def test_sampled_ranges(spark, monkeypatch):
+    """Over a plain scan ranges come from a sample; positions and totals are the same as over checkpointed ones."""
+    monkeypatch.setattr(ordering, "RANGE_ROWS", 300)
+    df = spark.range(4000).select(F.when(F.col("id") % 10 != 3, F.pmod(F.xxhash64("id"), F.lit(700))).alias("k"), F.col("id").alias("i"))
+    assert ordering._plain_scan(df) and ordering.ranged(df, ["k", "i"]).select("__range").distinct().count() > 3
+    rows = sorted(df.collect(), key=lambda r: (r.k is None, r.k or 0, r.i))
+    got = ordering.positions(df, ["k", "i"]).orderBy("__pos").collect()
+    assert [(r.k, r.i, r["__pos"]) for r in got] == [(r.k, r.i, n) for n, r in enumerate(rows)]
+    run = {r.i: r.s for r in ordering.scan(df, ["k", "i"], {"s": ("sum", F.col("i"))}).collect()}
+    total = 0
+    for r in rows:
+        total += r.i
+        assert run[r.i] == total
+
+
 def test_no_window_gathers_the_table(numbers):
     """Global windows run over ranges or blocks, so no exchange goes to one partition but for rows of totals."""
     out = ordering.sliding(numbers, ["id"], {"s": lambda w: F.lag("v").over(w)}, 1, 0)
