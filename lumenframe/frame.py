@@ -659,6 +659,8 @@ class Series:
         return self.frame.sdf.agg(c).first()[0]
 
     def agg(self, how: str | list[str], **options: object) -> object:
+        if how == "median":
+            return self.quantile()
         if isinstance(how, str):
             return self._value(S.aggregate(how, self.col, **options))
         row = self.frame.sdf.agg(*[S.aggregate(h, self.col).alias(h) for h in how]).first()
@@ -667,7 +669,7 @@ class Series:
     aggregate = agg
 
     def quantile(self, q: float = 0.5, interpolation: str = "linear") -> float:
-        return self.agg("quantile", q=q, interpolation=interpolation)
+        return aggregating.quantiles(self.frame.sdf.select(self.col.alias(RESULT)), [RESULT], [q], interpolation)[RESULT][0]
 
     def nunique(self, dropna: bool = True) -> int:
         return self.agg("nunique", dropna=dropna)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import statistics as S
 
+#: Rows up to which the exact quantiles of a whole column are taken by one aggregate, which holds its distinct values.
+QUANTILE_ROWS = 20_000_000
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
 
@@ -16,9 +19,42 @@ def numeric(df: DataFrame) -> list[str]:
     return [c for c, k in df.dtypes if k.startswith(NUMERIC)]
 
 
+def ranked_quantiles(df: DataFrame, column: str, shares: Sequence[float], interpolation: str = "linear") -> list[float | None]:
+    """Exact quantiles of a column of any size: distinct values counted, a running count over ranges, and the values at the
+    wanted ranks picked by one aggregate. No task holds more than its range."""
+    from lumenframe.plans.ordering import scan
+
+    counts = df.select(F.col(f"`{column}`").cast("double").alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    run = scan(counts, ["v"], {"upto": ("sum", F.col("n"))})
+    total = run.agg(F.max("upto")).first()[0]
+    if not total:
+        return [None] * len(shares)
+    at = [(total - 1) * float(q) for q in shares]
+    if interpolation == "nearest":
+        at = [float(round(x)) for x in at]
+    ranks = sorted({k for x in at for k in (math.floor(x), math.ceil(x))})
+    row = run.agg(*[F.min(F.when(F.col("upto") > k, F.col("v"))).alias(f"r{k}") for k in ranks]).first()
+    out = []
+    for x in at:
+        low, high = row[f"r{math.floor(x)}"], row[f"r{math.ceil(x)}"]
+        out.append({"lower": low, "higher": high, "midpoint": (low + high) / 2}.get(interpolation, low + (high - low) * (x - math.floor(x))))
+    return out
+
+
+def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float], interpolation: str = "linear") -> dict[str, list[float | None]]:
+    """Exact quantiles of each column: by one aggregate up to QUANTILE_ROWS rows, by ranks beyond; the results are the same."""
+    if df.count() > QUANTILE_ROWS or interpolation != "linear":
+        return {c: ranked_quantiles(df, c, shares, interpolation) for c in columns}
+    row = df.agg(*[F.percentile(F.col(f"`{c}`").cast("double"), F.array(*[F.lit(float(q)) for q in shares])).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+    return {c: list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(shares) for i, c in enumerate(columns)}
+
+
 def reduce_columns(df: DataFrame, how: str, columns: Sequence[str] | None = None, skipna: bool = True, **options: object) -> DataFrame:
     """One row with the aggregate of each column, under its name. Without `skipna` a missing value makes the result missing."""
     columns = columns or (df.columns if how in ("count", "nunique", "min", "max", "null_count", "any", "all") else numeric(df))
+    if how in ("median", "quantile") and skipna:
+        found = quantiles(df, columns, [options.get("q", 0.5)], options.get("interpolation", "linear"))
+        return df.sparkSession.createDataFrame([tuple(found[c][0] for c in columns)], ", ".join(f"`{c}` double" for c in columns))
     made = []
     for c in columns:
         value = S.aggregate(how, F.col(f"`{c}`"), **options)
@@ -61,10 +97,12 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, percentiles: S
     columns = list(columns or numeric(df))
     names = ["count", "mean", "std", "min", *[f"{p * 100:g}%" for p in percentiles], "max"]
 
-    def stats(c: Column) -> list[Column]:
-        return [F.count(c), F.avg(c), S.std(c), F.min(c), *[F.percentile(c, F.lit(float(p))) for p in percentiles], F.max(c)]
+    found = quantiles(df, columns, percentiles) if columns and percentiles else {c: [] for c in columns}
+
+    def stats(c: Column, name: str) -> list[Column]:
+        return [F.count(c), F.avg(c), S.std(c), F.min(c), *[F.lit(x) for x in found[name]], F.max(c)]
 
-    row = df.agg(*[s.cast("double").alias(f"{i}_{n}") for i, c in enumerate(columns) for n, s in zip(names, stats(F.col(f"`{c}`")), strict=True)])
+    row = df.agg(*[s.cast("double").alias(f"{i}_{n}") for i, c in enumerate(columns) for n, s in zip(names, stats(F.col(f"`{c}`"), c), strict=True)])
     cells = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"`{i}_{n}`").alias(n) for n in names]) for i, c in enumerate(columns)])
     return row.select(F.explode(cells).alias("x")).select("x.*")
 

@@ -153,9 +153,13 @@ def cut(df: DataFrame, column: str, bins: int | Sequence[float], name: str, labe
 
 
 def qcut(df: DataFrame, column: str, q: int | Sequence[float], name: str, labels: Sequence | None = None) -> DataFrame:
-    """Bins by exact quantiles, which one aggregate fetches."""
+    """Bins by exact quantiles, whatever the size of the table."""
+    from lumenframe.operators.aggregating import quantiles
+
     shares = [k / q for k in range(q + 1)] if isinstance(q, int) else list(q)
-    edges = df.agg(F.percentile(F.col(f"`{column}`").cast("double"), F.array(*[F.lit(float(x)) for x in shares]))).first()[0]
+    edges = quantiles(df, [column], shares)[column]
+    if edges[0] is None:
+        return df.withColumn(name, F.lit(None).cast("int"))
     return df.withColumn(name, cut_column(F.col(f"`{column}`"), edges, labels if labels is not None else list(range(len(edges) - 1)), True, True))
 
 

@@ -28,8 +28,14 @@ def reduce_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("reduce_quantiles", f"WITH {EVENTS} SELECT round(median(v::DOUBLE), 6) AS median, round(quantile_cont(v::DOUBLE, 0.66), 6) AS q66, round(quantile_cont(v::DOUBLE, 0.01), 6) AS q01 FROM e")
 def reduce_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("v")
-    return events(spark, sf_dir).agg(r(S.quantile(v)).alias("median"), r(S.quantile(v, 0.66)).alias("q66"), r(S.quantile(v, 0.01)).alias("q01"))
+    found = aggregating.quantiles(events(spark, sf_dir), ["v"], [0.5, 0.66, 0.01])["v"]
+    return rounded(spark.createDataFrame([tuple(found)], "median double, q66 double, q01 double"), "median", "q66", "q01")
+
+
+@register("reduce_quantiles_ranked", f"WITH {EVENTS} SELECT round(median(v::DOUBLE), 6) AS median, round(quantile_cont(v::DOUBLE, 0.66), 6) AS q66, round(quantile_cont(v::DOUBLE, 0.01), 6) AS q01 FROM e")
+def reduce_quantiles_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = aggregating.ranked_quantiles(events(spark, sf_dir), "v", [0.5, 0.66, 0.01])
+    return rounded(spark.createDataFrame([tuple(found)], "median double, q66 double, q01 double"), "median", "q66", "q01")
 
 
 @register("quantile_interpolations", "WITH s AS (SELECT event_type, list(value ORDER BY value) AS l, (count(value) - 1) * 0.3::DOUBLE AS k FROM events GROUP BY ALL) SELECT event_type, list_extract(l, CAST(floor(k) AS INT) + 1) AS lower, list_extract(l, CAST(ceil(k) AS INT) + 1) AS higher, round((list_extract(l, CAST(floor(k) AS INT) + 1) + list_extract(l, CAST(ceil(k) AS INT) + 1)) / 2, 6) AS midpoint FROM s")

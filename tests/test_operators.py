@@ -16,7 +16,7 @@ from lumenframe import arrays as A
 from lumenframe.columnar import Table
 from lumenframe.functions import dates, elementwise, strings
 from lumenframe.functions.categories import Categorical
-from lumenframe.operators import joining, resampling, reshaping, selecting, sorting, udfs, windowing
+from lumenframe.operators import aggregating, joining, resampling, reshaping, selecting, sorting, udfs, windowing
 from lumenframe.operators.grouping import Groups
 from lumenframe.plans import expressions, inspection, ordering
 from lumenframe.sources import readers, writers
@@ -65,6 +65,17 @@ def test_sampled_ranges(spark, monkeypatch):
         assert run[r.i] == total
 
 
+def test_quantiles_by_ranks(spark):
+    rng = np.random.default_rng(3)
+    v = pd.Series(np.where(rng.random(700) < 0.1, np.nan, rng.integers(0, 90, 700)))
+    df = readers.from_pandas(spark, pd.DataFrame({"v": v}))
+    for how in ("linear", "lower", "higher", "midpoint", "nearest"):
+        want = [v.quantile(q, how) for q in (0, 0.13, 0.5, 0.77, 1)]
+        assert aggregating.ranked_quantiles(df, "v", (0, 0.13, 0.5, 0.77, 1), how) == pytest.approx(want), how
+    assert aggregating.quantiles(df, ["v"], [0.13])["v"] == pytest.approx([v.quantile(0.13)])
+    assert aggregating.ranked_quantiles(df.limit(0), "v", [0.5]) == [None] and aggregating.quantiles(df.limit(0), ["v"], [0.5]) == {"v": [None]}
+
+
 def test_no_window_gathers_the_table(numbers):
     """Global windows run over ranges or blocks, so no exchange goes to one partition but for rows of totals."""
     out = ordering.sliding(numbers, ["id"], {"s": lambda w: F.lag("v").over(w)}, 1, 0)
