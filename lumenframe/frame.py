@@ -553,6 +553,22 @@ class Frame:
     def expanding(self, min_periods: int = 1) -> Rolling:
         return Rolling(self, (), "expanding", min_periods=min_periods)
 
+    def ewm(self, column: str, name: str | None = None, alpha: float | None = None, span: float | None = None, com: float | None = None, halflife: float | None = None) -> Frame:
+        """The adjusted exponentially weighted mean of a column, under its name or another."""
+        out = windowing.ewm(self.sdf, self.order, column, name or "__ewm", (), alpha, span, com, halflife)
+        return self._new(out if name else out.withColumn(column, F.col("__ewm")).drop("__ewm"), True)
+
+    def squeeze(self) -> Frame | Series | object:
+        """A series if there is one column, its value if there is one row too."""
+        if len(self.columns) != 1:
+            return self
+        one = self[self.columns[0]]
+        rows = self.sdf.select(one.col).limit(2).collect()
+        return rows[0][0] if len(rows) == 1 else one
+
+    def swapaxes(self) -> Frame:
+        return self.transpose()
+
     def resample(self, rule: str, on: str | None = None, closed: str = "left", label: str = "left") -> Resampler:
         return Resampler(self, rule, on or self.index[0], closed, label)
 

@@ -196,12 +196,44 @@ def rolling_apply(df: DataFrame, order: Order, window: int, column: str, func: C
     return sliding(df, order, {"__frame": lambda w: F.collect_list(F.col(f"`{column}`")).over(w.rowsBetween(-(window - 1), 0))}, window - 1, 0, by).withColumn(name, run("__frame")).drop("__frame")
 
 
-def ewm(df: DataFrame, order: Sequence[str], column: str, name: str, by: Sequence[str], alpha: float | None = None, span: float | None = None, com: float | None = None, halflife: float | None = None, adjust: bool = True, how: str = "mean", bias: bool = False) -> DataFrame:
-    """Exponentially weighted mean, var or std inside groups. The recurrence is sequential, so a group is a task's unit."""
+def _ewm_whole(df: DataFrame, order: Sequence[str], column: str, name: str, alpha: float) -> DataFrame:
+    """Weighted sums of values and of weights are linear recurrences: each range runs on from what the ranges before it add
+    up to, of which the driver sees two numbers for each range."""
+    from lumenframe.plans.ordering import checkpoint, ranged
+
+    dealt = ranged(df, order)
+    schema = StructType([*dealt.schema.fields, *StructType.fromDDL("__num double, __den double, __k bigint").fields])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(list(order), kind="stable", na_position="last")
+        x = pdf[column].astype(float)
+        pdf["__num"] = x.fillna(0.0).ewm(alpha=alpha).sum()
+        pdf["__den"] = x.notna().astype(float).ewm(alpha=alpha).sum()
+        pdf["__k"] = np.arange(1, len(pdf) + 1)
+        return pdf
+
+    local = checkpoint(dealt.groupBy("__range").applyInPandas(run, schema))
+    ends = local.groupBy("__range").agg(F.max_by("__num", "__k"), F.max_by("__den", "__k"), F.max("__k")).orderBy("__range").collect()
+    num = den = 0.0
+    carried = []
+    for part, a, b, n in ends:
+        carried.append((part, num, den))
+        num, den = num * (1 - alpha) ** n + a, den * (1 - alpha) ** n + b
+    into = df.sparkSession.createDataFrame(carried, "__range int, __cn double, __cd double")
+    fade = F.pow(F.lit(1 - alpha), F.col("__k"))
+    below = F.col("__den") + F.col("__cd") * fade
+    out = local.join(F.broadcast(into), "__range").withColumn(name, F.when(below > 0, (F.col("__num") + F.col("__cn") * fade) / below))
+    return out.drop("__range", "__num", "__den", "__k", "__cn", "__cd")
+
+
+def ewm(df: DataFrame, order: Sequence[str], column: str, name: str, by: Sequence[str] = (), alpha: float | None = None, span: float | None = None, com: float | None = None, halflife: float | None = None, adjust: bool = True, how: str = "mean", bias: bool = False) -> DataFrame:
+    """Exponentially weighted mean, var or std inside groups, each of which is a task's unit; adjusted means over a whole table too."""
     if alpha is None:
         alpha = 2 / (span + 1) if span is not None else 1 / (1 + com) if com is not None else 1 - float(np.exp(-np.log(2) / halflife))
     if not by:
-        raise NotImplementedError("exponential weights over a whole table are one sequence; give groups")
+        if how != "mean" or not adjust:
+            raise NotImplementedError("over a whole table there are adjusted means only; give groups")
+        return _ewm_whole(df, order, column, name, alpha)
     schema = StructType([*df.schema.fields, StructField(name, DoubleType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

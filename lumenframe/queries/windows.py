@@ -119,6 +119,16 @@ def ewm_mean_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(windowing.ewm(e, ORDER, "value", "m", ["user_id"], alpha=0.3, adjust=False), "m").select("event_id", "m")
 
 
+@register(
+    "ewm_mean_whole",
+    f"""WITH RECURSIVE {EVENTS}, n AS (SELECT event_id, v, row_number() OVER (ORDER BY event_id) AS k FROM e WHERE event_id < 400), r AS (SELECT event_id, k, coalesce(v, 0)::DOUBLE AS a, (v IS NOT NULL)::INT::DOUBLE AS b FROM n WHERE k = 1
+    UNION ALL SELECT n.event_id, n.k, coalesce(n.v, 0) + 0.8::DOUBLE * r.a, (n.v IS NOT NULL)::INT + 0.8::DOUBLE * r.b FROM r JOIN n ON n.k = r.k + 1) SELECT event_id, CASE WHEN b > 0 THEN round(a / b, 6) END AS m FROM r""",
+)
+def ewm_mean_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = windowing.ewm(events(spark, sf_dir).filter("event_id < 400"), ORDER, "v", "m", alpha=0.2)
+    return rounded(out, "m").select("event_id", "m")
+
+
 @register("cumulative_all", f"WITH {EVENTS} SELECT event_id, CASE WHEN v IS NOT NULL THEN round(sum(v) OVER w, 2) END AS s, CASE WHEN v IS NOT NULL THEN max(v) OVER w END AS hi, CASE WHEN v IS NOT NULL THEN min(v) OVER w END AS lo, count(v) OVER w AS n FROM e WINDOW w AS (ORDER BY event_id)")
 def cumulative_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = windowing.cumulative(events(spark, sf_dir), ORDER, {"s": ("cumsum", "v"), "hi": ("cummax", "v"), "lo": ("cummin", "v"), "n": ("cumcount", "v")})

@@ -244,6 +244,18 @@ def json_normalize(df: DataFrame, column: str | None = None, record_path: str |
     return df
 
 
+def read_pickle_parts(spark: SparkSession, path: str, schema: Schema) -> DataFrame:
+    """What writers.to_pickle_parts wrote. Unpickling runs code: only for files of one's own."""
+    import pickle
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for x in pdf["pickle"]:
+                yield pickle.loads(bytes(x))
+
+    return spark.read.parquet(path).mapInPandas(run, schema)
+
+
 def from_pandas(spark: SparkSession, pdf: pd.DataFrame) -> DataFrame:
     return without_nan(spark.createDataFrame(pdf))
 
@@ -274,3 +286,7 @@ def local(kind: str) -> Callable[..., DataFrame]:
 
 
 read_stata, read_sas, read_spss, read_pickle, read_excel, read_hdf = map(local, ("stata", "sas", "spss", "pickle", "excel", "hdf"))
+
+
+def read_clipboard(spark: SparkSession, **options: object) -> DataFrame:
+    return from_pandas(spark, pd.read_clipboard(**options))

@@ -101,6 +101,31 @@ def to_pickle(df: DataFrame, path: str) -> None:
     df.toPandas().to_pickle(path)
 
 
+def to_excel(df: DataFrame, path: str, **options: object) -> None:
+    """One workbook by the driver; needs a library that writes them."""
+    df.toPandas().to_excel(path, index=False, **options)
+
+
+def to_hdf(df: DataFrame, path: str, key: str = "table") -> None:
+    df.toPandas().to_hdf(path, key=key)
+
+
+def to_clipboard(df: DataFrame, n: int = SHOWN) -> None:
+    df.limit(n).toPandas().to_clipboard(index=False)
+
+
+def to_pickle_parts(df: DataFrame, path: str) -> None:
+    """A pickled pandas frame for each batch of rows, held in a folder of parquet, written by all executors."""
+    import pickle
+    from collections.abc import Iterator
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"pickle": [pickle.dumps(pdf)]})
+
+    df.mapInPandas(run, "pickle binary").write.mode("overwrite").parquet(path)
+
+
 def to_feather(df: DataFrame, path: str) -> None:
     import pyarrow.feather as feather
 

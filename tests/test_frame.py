@@ -82,6 +82,7 @@ CASES = {
     "rolling_kurt": (lambda f: f[["y"]].rolling(6).kurt(), lambda p: p[["y"]].rolling(6).kurt()),
     "rolling_quantile": (lambda f: f[["y"]].rolling(5).quantile(0.3), lambda p: p[["y"]].rolling(5).quantile(0.3)),
     "rolling_center": (lambda f: f[["y"]].rolling(5, center=True).sum(), lambda p: p[["y"]].rolling(5, center=True).sum()),
+    "ewm": (lambda f: f[["x"]].ewm("x", span=4), lambda p: p[["x"]].ewm(span=4).mean()),
     "expanding_mean": (lambda f: f[["x"]].expanding().mean(), lambda p: p[["x"]].expanding().mean()),
     "expanding_std": (lambda f: f[["y"]].expanding(2).std(), lambda p: p[["y"]].expanding(2).std()),
     "groupby_sum": (lambda f: f.groupby("g")[["x", "y"]].sum(), lambda p: p.groupby("g")[["x", "y"]].sum()),

@@ -76,6 +76,14 @@ def test_quantiles_by_ranks(spark):
     assert aggregating.ranked_quantiles(df.limit(0), "v", [0.5]) == [None] and aggregating.quantiles(df.limit(0), ["v"], [0.5]) == {"v": [None]}
 
 
+def test_exponential_weights_across_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "RANGE_ROWS", 100)
+    df = spark.range(1500).select("id", F.when(F.col("id") % 11 != 2, F.pmod(F.xxhash64("id"), F.lit(70)).cast("double")).alias("v"))
+    got = [r.m for r in windowing.ewm(df, ["id"], "v", "m", halflife=20).orderBy("id").collect()]
+    want = pd.Series([r.v for r in df.orderBy("id").collect()], dtype=float).ewm(halflife=20).mean()
+    assert got == pytest.approx(want.tolist())
+
+
 def test_no_window_gathers_the_table(numbers):
     """Global windows run over ranges or blocks, so no exchange goes to one partition but for rows of totals."""
     out = ordering.sliding(numbers, ["id"], {"s": lambda w: F.lag("v").over(w)}, 1, 0)
@@ -225,6 +233,8 @@ def test_readers_and_writers(spark, tmp_path):
     assert readers.read_feather(spark, f"{tmp_path}/f.arrow").orderBy("i").collect() == df.orderBy("i").collect()
     writers.to_pickle(df, f"{tmp_path}/p.pkl")
     assert readers.read_pickle(spark, f"{tmp_path}/p.pkl").count() == 2
+    writers.to_pickle_parts(df, f"{tmp_path}/pp")
+    assert readers.read_pickle_parts(spark, f"{tmp_path}/pp", df.schema).orderBy("i").collect() == df.orderBy("i").collect()
     writers.to_stata(df.select("i", "v"), f"{tmp_path}/s.dta")
     assert readers.read_stata(spark, f"{tmp_path}/s.dta").count() == 2
     (tmp_path / "t.tsv").write_text("x\ty\n1\t2\n")
