@@ -175,6 +175,36 @@ def _line_id(line: Column) -> Column:
     return F.xxhash64(line)
 
 
+def chunk_lines(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, starts and ends of the different lines of a chunk of texts; blank ones are left out."""
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[offsets] = True
+    edge[np.flatnonzero(raw == 10) + 1] = True
+    start = np.flatnonzero(edge)
+    start, end = start[:-1], start[1:]
+    end = end - ((end > start) & (raw[np.maximum(end - 1, 0)] == 10)) if len(raw) else end
+    solid = np.concatenate(([0], np.cumsum(~spans.space_bytes(raw))))
+    full = solid[end] > solid[start]
+    start, end = start[full], end[full]
+    line, first = np.unique(spans.xxh64(raw, start, end, 42), return_index=True)
+    return line, start[first], end[first]
+
+
+def line_bodies(texts: DataFrame) -> DataFrame:
+    """(id, line): the different lines of each chunk of texts, so that a line held by a third of all texts is one row a chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, raw, offsets in spans.text_chunks(batch):
+                line, start, end = chunk_lines(raw, offsets)
+                if len(line):
+                    body = raw.tobytes()
+                    made = pa.array([body[a:b] for a, b in zip(start.tolist(), end.tolist())], pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(line.view(np.int64)), made], ["id", "line"])
+
+    return texts.select("text").mapInArrow(run, "id bigint, line string")
+
+
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
     """(a, b), a < b, the ids (64-bit digests) of each two different lines that are linked."""
     spark = docs.sparkSession
@@ -203,21 +233,9 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits
 
         for batch in batches:
             for _, _, raw, offsets in spans.text_chunks(batch):
-                edge = np.zeros(len(raw) + 1, bool)
-                edge[offsets] = True
-                edge[np.flatnonzero(raw == 10) + 1] = True
-                start = np.flatnonzero(edge)
-                start, end = start[:-1], start[1:]
-                if not len(start):
-                    continue
-                end = end - ((end > start) & (raw[np.maximum(end - 1, 0)] == 10))
-                solid = np.concatenate(([0], np.cumsum(~spans.space_bytes(raw))))
-                full = solid[end] > solid[start]
-                start, end = start[full], end[full]
-                if not len(start):
+                line, start, end = chunk_lines(raw, offsets)
+                if not len(line):
                     continue
-                line, first = np.unique(spans.xxh64(raw, start, end, 42), return_index=True)
-                start, end = start[first], end[first]
                 lead = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
                 code = np.frombuffer(raw.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
                 sign = signatures(code, lead[start], lead[end] - lead[start])
@@ -271,8 +289,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits
 
     candidates = checkpoint(texts.mapInArrow(send, "bucket bigint, data binary").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint").distinct())
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    lines = _lines(docs, id_col, text_col).select(_line_id(F.col("line")).alias("id"), "line")
-    bodies = checkpoint(lines.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")))
+    bodies = checkpoint(line_bodies(texts).join(wanted, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")))
     pairs = candidates.join(bodies.select(F.col("id").alias("a"), F.col("line").alias("left")), "a").join(bodies.select(F.col("id").alias("b"), F.col("line").alias("right")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,6 +310,8 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     class_lines how many lines the class has, first_doc and first_line its first line by (doc_id, line_no), and kept whether
     this is that line. A null text has no lines; a null doc_id comes before all. Rows repeated with one doc_id are told
     apart by nothing, so their lines are kept or go together. Lines are known by 64-bit digests.
+
+    The classes' first lines are checkpointed before they are joined back, so that adaptive execution can split a hot class.
     """
     edges = checkpoint(links(docs, id_col, text_col, edits))
     parts = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -300,7 +319,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = checkpoint(parts.join(degree, "node"))
     lines = _lines(docs, id_col, text_col).select("doc_id", "line_no", _line_id(F.col("line")).alias("id"))
     classed = lines.join(known, F.col("id") == F.col("node"), "left").select("doc_id", "line_no", F.coalesce("component", "id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"))
-    first = classed.groupBy("class_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("class_lines"))
+    first = checkpoint(classed.groupBy("class_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("class_lines")))
     found = classed.join(first, "class_id")
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))
     return found.select("doc_id", "line_no", "class_id", "n_links", "class_lines", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"), kept.alias("kept"))
