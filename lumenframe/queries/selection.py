@@ -198,7 +198,7 @@ def info_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selecting.info(events(spark, sf_dir).select("event_id", "v", "event_type"))
 
 
-@register("memory_usage", "SELECT 'n_nationkey' AS \"column\", count(*) * 4 AS bytes FROM nation UNION ALL SELECT 'n_name', sum(strlen(n_name)) FROM nation UNION ALL SELECT 'n_regionkey', count(*) * 4 FROM nation")
+@register("memory_usage", "SELECT 'n_nationkey' AS \"column\", count(*) * 4 AS bytes FROM nation UNION ALL SELECT 'n_name', sum(strlen(n_name))::BIGINT FROM nation UNION ALL SELECT 'n_regionkey', count(*) * 4 FROM nation")
 def memory_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selecting.memory_usage(table(spark, sf_dir, "nation"))
 
