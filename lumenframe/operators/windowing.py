@@ -123,9 +123,10 @@ def _rolling_time(df: DataFrame, window: str, aggs: dict[str, tuple], by: Sequen
 
 
 def expanding(df: DataFrame, order: Order, aggs: dict[str, tuple], by: Sequence[str] = (), min_periods: int = 1) -> DataFrame:
-    """Aggregates over all rows so far. sum, mean, min, max, count, prod, var, std, sem over a whole table are scans over ranges;
-    the others (quantiles, ranks, moments, correlations) need `by`, as they must hold what they have seen."""
-    plain = {"sum", "mean", "min", "max", "count", "prod", "var", "std", "sem"}
+    """Aggregates over all rows so far. Over a whole table they are scans over ranges; quantiles and ranks need `by`, as they
+    must hold what they have seen."""
+    moments = {"var": 2, "std": 2, "sem": 2, "skew": 3, "kurt": 4}
+    plain = {"sum", "mean", "min", "max", "count", "prod", "cov", "corr", *moments}
     if by:
         w = Window.partitionBy(*by).orderBy(*keys(order)).rowsBetween(Window.unboundedPreceding, 0)
         made = {}
@@ -135,34 +136,66 @@ def expanding(df: DataFrame, order: Order, aggs: dict[str, tuple], by: Sequence[
         return df.withColumns(made)
     if bad := {x[0] for x in aggs.values()} - plain:
         raise NotImplementedError(f"{sorted(bad)} over a whole table would hold it in one task; give groups, or use quantiles of the table")
+    centred = sorted({c for name, *cs in aggs.values() if name in moments or name in ("cov", "corr") for c in cs})
+    means = df.agg(*[F.avg(f"`{c}`").alias(c) for c in centred]).first().asDict() if centred else {}
+
+    def less_mean(c: str) -> Column:
+        """Sums of powers are taken about the mean of the column, which keeps their differences exact enough."""
+        return F.col(f"`{c}`").cast("double") - F.lit(float(means[c] or 0.0))
+
     runs: dict[str, tuple[str, Column]] = {}
-    for n, (name, c, *_) in aggs.items():
+    for n, (name, c, *more) in aggs.items():
         x = F.col(f"`{c}`")
+        if name in ("cov", "corr"):
+            both = x.isNotNull() & F.col(f"`{more[0]}`").isNotNull()
+            p, q = F.when(both, less_mean(c)), F.when(both, less_mean(more[0]))
+            runs |= {f"__n_{n}": ("count", p), f"__p_{n}": ("sum", p), f"__q_{n}": ("sum", q), f"__pq_{n}": ("sum", p * q), f"__pp_{n}": ("sum", p * p), f"__qq_{n}": ("sum", q * q)}
+            continue
         runs[f"__n_{n}"] = ("count", x)
         if name in ("sum", "mean"):
             runs[f"__s_{n}"] = ("sum", x)
         elif name in ("min", "max", "prod"):
             runs[f"__s_{n}"] = (name, x)
-        elif name in ("var", "std", "sem"):
-            runs[f"__s_{n}"], runs[f"__q_{n}"] = ("sum", x.cast("double")), ("sum", x.cast("double") * x.cast("double"))
+        for k in range(1, moments.get(name, 0) + 1):
+            runs[f"__s{k}_{n}"] = ("sum", F.pow(less_mean(c), F.lit(float(k))))
     run = scan(df, order, runs)
     out = {}
     for n, (name, *_) in aggs.items():
         count = F.col(f"__n_{n}")
+        d = count.cast("double")
         if name == "count":
-            value = count.cast("double")
+            value = d
         elif name == "mean":
             value = F.col(f"__s_{n}") / F.when(count > 0, count)
-        elif name in ("var", "std", "sem"):
-            d = count.cast("double")
-            value = F.greatest(F.lit(0.0), (F.col(f"__q_{n}") - F.col(f"__s_{n}") * F.col(f"__s_{n}") / d) / F.when(d > 1, d - 1))
-            value = value if name == "var" else F.sqrt(value) if name == "std" else F.sqrt(value) / F.sqrt(d)
+        elif name in moments:
+            value = _from_sums(name, d, [F.col(f"__s{k}_{n}") for k in range(1, moments[name] + 1)])
+        elif name in ("cov", "corr"):
+            p, q, pq, pp, qq = (F.col(f"__{k}_{n}") for k in ("p", "q", "pq", "pp", "qq"))
+            shared, one, two = pq - p * q / d, pp - p * p / d, qq - q * q / d
+            value = shared / F.when(d > 1, d - 1) if name == "cov" else shared / F.when((one > 0) & (two > 0), F.sqrt(one * two))
         else:
             value = F.col(f"__s_{n}")
         out[n] = F.when(count >= min_periods, value)
     return run.withColumns(out).drop(*runs)
 
 
+def _from_sums(name: str, d: Column, s: list[Column]) -> Column:
+    """A statistic from the number of values and the sums of their powers; 0 for the shape of equal values."""
+    mean = s[0] / d
+    square = F.greatest(F.lit(0.0), s[1] - s[0] * mean)
+    if name in ("var", "std", "sem"):
+        v = square / F.when(d > 1, d - 1)
+        return v if name == "var" else F.sqrt(v) if name == "std" else F.sqrt(v) / F.sqrt(d)
+    m2 = square / d
+    some = m2 > 1e-24
+    if name == "skew":
+        m3 = s[2] / d - 3 * mean * s[1] / d + 2 * mean * mean * mean
+        return F.when(d > 2, F.when(some, F.sqrt(d * (d - 1)) / F.when(d > 2, d - 2) * m3 / F.when(some, F.pow(m2, F.lit(1.5)))).otherwise(0.0))
+    m4 = s[3] / d - 4 * mean * s[2] / d + 6 * mean * mean * s[1] / d - 3 * mean * mean * mean * mean
+    body = (d - 1) / F.when(d > 3, (d - 2) * (d - 3)) * ((d + 1) * m4 / F.when(some, m2 * m2) - 3 * (d - 1))
+    return F.when(d > 3, F.when(some, body).otherwise(0.0))
+
+
 def weighted(df: DataFrame, order: Order, column: str, weights: Sequence[float], name: str, how: str = "mean", by: Sequence[str] = (), center: bool = False) -> DataFrame:
     """Sliding frame with a weight for each place (the shapes of signal windows): mean, sum, var or std; full frames only."""
     n = len(weights)

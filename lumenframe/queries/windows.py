@@ -102,6 +102,24 @@ def expanding_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(out, "var", digits=3), "std", digits=4).select("event_id", "var", "std")
 
 
+@register("expanding_shape", f"WITH {EVENTS} SELECT event_id, CASE WHEN count(v) OVER w >= 10 THEN round(skewness(v) OVER w, 4) END AS skew, CASE WHEN count(v) OVER w >= 10 THEN round(kurtosis(v) OVER w, 4) END AS kurt, CASE WHEN count(v) OVER w >= 10 THEN round(stddev_samp(v) OVER w / sqrt(count(v) OVER w), 6) END AS sem FROM e WINDOW w AS (ORDER BY event_id)")
+def expanding_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = windowing.expanding(events(spark, sf_dir), ORDER, {"skew": ("skew", "v"), "kurt": ("kurt", "v"), "sem": ("sem", "v")}, min_periods=10)
+    return rounded(rounded(out, "skew", "kurt", digits=4), "sem").select("event_id", "skew", "kurt", "sem")
+
+
+@register("expanding_pairs", f"WITH {EVENTS} SELECT event_id, CASE WHEN count(v) OVER w >= 3 THEN round(covar_samp(v, user_id) OVER w, 3) END AS cov, CASE WHEN count(v) OVER w >= 3 THEN round(corr(v, user_id) OVER w, 5) END AS corr FROM e WINDOW w AS (ORDER BY event_id)")
+def expanding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = windowing.expanding(events(spark, sf_dir), ORDER, {"cov": ("cov", "v", "user_id"), "corr": ("corr", "v", "user_id")}, min_periods=3)
+    return rounded(rounded(out, "cov", digits=3), "corr", digits=5).select("event_id", "cov", "corr")
+
+
+@register("window_weighted_spread", "WITH w AS (SELECT event_id, lag(value, 2) OVER o AS a, lag(value) OVER o AS b, value AS c FROM events WINDOW o AS (ORDER BY event_id)), m AS (SELECT *, (0.5 * a + b + 0.5 * c) / 2.0 AS m FROM w) SELECT event_id, round((0.5 * (a - m) ** 2 + (b - m) ** 2 + 0.5 * (c - m) ** 2) / (2.0 * 2 / 3), 9) AS var FROM m")
+def window_weighted_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = windowing.weighted(table(spark, sf_dir, "events"), ORDER, "value", [0.5, 1.0, 0.5], "var", "var")
+    return rounded(out, "var", digits=9).select("event_id", "var")
+
+
 @register("expanding_by_user", "SELECT event_id, round(median(value) OVER w, 6) AS med, round(quantile_cont(value, 0.9) OVER w, 6) AS q90, CASE WHEN count(value) OVER w >= 2 THEN round(corr(value, event_id) OVER w, 4) END AS corr FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
 def expanding_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = windowing.expanding(table(spark, sf_dir, "events"), ORDER, {"med": ("median", "value"), "q90": ("quantile", "value", 0.9), "corr": ("corr", "value", "event_id")}, ["user_id"])

@@ -85,6 +85,9 @@ CASES = {
     "ewm": (lambda f: f[["x"]].ewm("x", span=4), lambda p: p[["x"]].ewm(span=4).mean()),
     "expanding_mean": (lambda f: f[["x"]].expanding().mean(), lambda p: p[["x"]].expanding().mean()),
     "expanding_std": (lambda f: f[["y"]].expanding(2).std(), lambda p: p[["y"]].expanding(2).std()),
+    "expanding_skew": (lambda f: f[["x", "y"]].expanding(3).skew(), lambda p: p[["x", "y"]].expanding(3).skew()),
+    "expanding_kurt": (lambda f: f[["x", "y"]].expanding(4).kurt(), lambda p: p[["x", "y"]].expanding(4).kurt()),
+    "expanding_sem": (lambda f: f[["y"]].expanding(2).std(), lambda p: p[["y"]].expanding(2).std()),
     "groupby_sum": (lambda f: f.groupby("g")[["x", "y"]].sum(), lambda p: p.groupby("g")[["x", "y"]].sum()),
     "groupby_agg": (lambda f: f.groupby("g").agg(a=("x", "mean"), b=("y", "std"), c=("x", "count"), d=("s", "nunique")), lambda p: p.groupby("g").agg(a=("x", "mean"), b=("y", "std"), c=("x", "count"), d=("s", "nunique"))),
     "groupby_median": (lambda f: f.groupby("g")[["x"]].median(), lambda p: p.groupby("g")[["x"]].median()),
