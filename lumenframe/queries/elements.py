@@ -94,11 +94,9 @@ def horizontal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("event_id", E.horizontal(cols, "max").alias("hi"), E.horizontal(cols, "min").alias("lo"), r(E.horizontal(cols, "sum")).alias("s"), r(E.horizontal(cols, "mean")).alias("m"), E.horizontal(cols, "count").alias("n"))
 
 
-@register("significant_figures", "SELECT p_partkey, round(p_retailprice / pow(10, floor(log10(p_retailprice)) - 1)) * pow(10, floor(log10(p_retailprice)) - 1) AS two FROM part WHERE p_retailprice / pow(10, floor(log10(p_retailprice)) - 1) % 1 <> 0.5")
+@register("significant_figures", "SELECT p_partkey, round_even(p_retailprice / pow(10, floor(log10(p_retailprice)) - 1), 0) * pow(10, floor(log10(p_retailprice)) - 1) AS two FROM part")
 def significant_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.col("p_retailprice")
-    scale = F.pow(F.lit(10.0), F.floor(F.log10(p)) - 1)
-    return table(spark, sf_dir, "part").filter((p / scale) % 1 != 0.5).select("p_partkey", E.round_sig_figs(p, 2).alias("two"))
+    return table(spark, sf_dir, "part").select("p_partkey", E.round_sig_figs(F.col("p_retailprice"), 2).alias("two"))
 
 
 # Text
@@ -235,12 +233,11 @@ def dt_names_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "dt_rounding",
-    "SELECT event_id, date_trunc('hour', ts) AS floor, CASE WHEN ts = date_trunc('hour', ts) THEN ts ELSE date_trunc('hour', ts) + INTERVAL 1 HOUR END AS ceil, date_trunc('hour', ts + INTERVAL 30 MINUTE) AS near, time_bucket(INTERVAL 15 MINUTE, ts, TIMESTAMP '1970-01-01') AS quarter, date_trunc('day', ts)::TIMESTAMP AS normal FROM events WHERE epoch_us(ts) % 3600000000 <> 1800000000",
+    "SELECT event_id, date_trunc('hour', ts) AS floor, CASE WHEN ts = date_trunc('hour', ts) THEN ts ELSE date_trunc('hour', ts) + INTERVAL 1 HOUR END AS ceil, date_trunc('hour', ts + INTERVAL 30 MINUTE) AS near, time_bucket(INTERVAL 15 MINUTE, ts, TIMESTAMP '1970-01-01') AS quarter, date_trunc('day', ts)::TIMESTAMP AS normal FROM events",
 )
 def dt_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("ts")
-    e = table(spark, sf_dir, "events").filter(F.pmod(D.micros(t), F.lit(3_600_000_000)) != 1_800_000_000)
-    return e.select("event_id", D.floor(t, "h").alias("floor"), D.ceil(t, "h").alias("ceil"), D.round_(t, "h").alias("near"), D.floor(t, "min", 15).alias("quarter"), D.normalize(t).alias("normal"))
+    return table(spark, sf_dir, "events").select("event_id", D.floor(t, "h").alias("floor"), D.ceil(t, "h").alias("ceil"), D.round_(t, "h").alias("near"), D.floor(t, "min", 15).alias("quarter"), D.normalize(t).alias("normal"))
 
 
 @register("dt_isocalendar", "SELECT o_orderkey, isoyear(o_orderdate)::INT AS y, week(o_orderdate)::INT AS w, isodow(o_orderdate)::INT AS d FROM orders")

@@ -22,34 +22,34 @@ def merge_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joining.merge(c, table(spark, sf_dir, "nation"), left_on="c_nationkey", right_on="n_nationkey").select("o_orderkey", "c_name", "n_name")
 
 
-@register("merge_left", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 10 = 0) ON c_custkey = o_custkey")
+@register("merge_left", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) ON c_custkey = o_custkey")
 def merge_left(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _orders_small(spark, sf_dir).filter("o_orderkey % 10 = 0")
+    o = _orders_small(spark, sf_dir).filter("o_totalprice > 400000")
     return joining.merge(table(spark, sf_dir, "customer").select("c_custkey"), o, "left", left_on="c_custkey", right_on="o_custkey").select("c_custkey", "o_orderkey")
 
 
-@register("merge_right", "SELECT c_name, o_custkey AS k FROM (SELECT c_custkey AS k, c_name FROM customer WHERE c_custkey % 3 = 0) c RIGHT JOIN (SELECT DISTINCT o_custkey FROM orders) o ON c.k = o.o_custkey")
+@register("merge_right", "SELECT c_name, o_custkey AS k FROM (SELECT c_custkey AS k, c_name FROM customer WHERE c_acctbal > 5000) c RIGHT JOIN (SELECT DISTINCT o_custkey FROM orders) o ON c.k = o.o_custkey")
 def merge_right(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), "c_name")
+    c = table(spark, sf_dir, "customer").filter("c_acctbal > 5000").select(F.col("c_custkey").alias("k"), "c_name")
     return joining.merge(c, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")).distinct(), "right", on="k").select("c_name", "k")
 
 
 @register(
     "merge_outer_indicator",
     """SELECT coalesce(a.k, b.k) AS k, a.v AS v_x, b.v AS v_y, CASE WHEN a.k IS NULL THEN 'right_only' WHEN b.k IS NULL THEN 'left_only' ELSE 'both' END AS _merge
-    FROM (SELECT c_custkey AS k, c_nationkey AS v FROM customer WHERE c_custkey % 2 = 0) a FULL JOIN (SELECT c_custkey AS k, c_nationkey + 1 AS v FROM customer WHERE c_custkey % 3 = 0) b ON a.k = b.k""",
+    FROM (SELECT c_custkey AS k, c_nationkey AS v FROM customer WHERE c_acctbal > 0) a FULL JOIN (SELECT c_custkey AS k, c_nationkey + 1 AS v FROM customer WHERE c_mktsegment = 'BUILDING') b ON a.k = b.k""",
 )
 def merge_outer_indicator(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
-    a = c.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("v"))
-    b = c.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), (F.col("c_nationkey") + 1).alias("v"))
+    a = c.filter("c_acctbal > 0").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("v"))
+    b = c.filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("k"), (F.col("c_nationkey") + 1).alias("v"))
     return joining.merge(a, b, "outer", on="k", indicator=True)
 
 
-@register("merge_null_keys", "WITH a AS (SELECT nullif(event_id % 50, 0) AS k, event_id FROM events WHERE event_id < 200) SELECT x.event_id AS event_id_x, y.event_id AS event_id_y, x.k AS k FROM a x JOIN a y ON x.k IS NOT DISTINCT FROM y.k")
+@register("merge_null_keys", "SELECT nullif(user_id % 25, 0) AS k, event_id, n_name FROM events JOIN (SELECT nullif(n_nationkey, 0)::BIGINT AS k, n_name FROM nation) n ON nullif(user_id % 25, 0) IS NOT DISTINCT FROM n.k")
 def merge_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "events").filter("event_id < 200").select(F.expr("nullif(event_id % 50, 0)").alias("k"), "event_id")
-    return joining.merge(a, a, on="k")
+    a = table(spark, sf_dir, "events").select(F.expr("nullif(user_id % 25, 0)").alias("k"), "event_id")
+    return joining.merge(a, table(spark, sf_dir, "nation").select(F.expr("nullif(n_nationkey, 0)").cast("bigint").alias("k"), "n_name"), on="k")
 
 
 @register("merge_cross", "SELECT a.r_name AS r_name_x, b.r_name AS r_name_y FROM region a, region b")
@@ -76,22 +76,22 @@ def join_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joining.join_index(d, table(spark, sf_dir, "labels"), "doc_id")
 
 
-@register("merge_ordered", "SELECT coalesce(a.k, b.k) AS k, a.v AS v_x, b.v AS v_y FROM (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 4 = 0) a FULL JOIN (SELECT o_orderkey AS k, o_custkey AS v FROM orders WHERE o_orderkey % 6 = 0) b ON a.k = b.k")
+@register("merge_ordered", "SELECT coalesce(a.k, b.k) AS k, a.v AS v_x, b.v AS v_y FROM (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderstatus = 'F') a FULL JOIN (SELECT o_orderkey AS k, o_custkey AS v FROM orders WHERE o_orderpriority = '5-LOW') b ON a.k = b.k")
 def merge_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    a = o.filter("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
-    return joining.merge_ordered(a, o.filter("o_orderkey % 6 = 0").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("v")), "k")
+    a = o.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
+    return joining.merge_ordered(a, o.filter("o_orderpriority = '5-LOW'").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("v")), "k")
 
 
 @register(
     "merge_ordered_ffill",
     """SELECT k, last_value(x IGNORE NULLS) OVER (ORDER BY k) AS x, last_value(y IGNORE NULLS) OVER (ORDER BY k) AS y FROM (SELECT coalesce(a.k, b.k) AS k, a.v AS x, b.v AS y
-    FROM (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 4 = 0) a FULL JOIN (SELECT o_orderkey AS k, o_custkey AS v FROM orders WHERE o_orderkey % 6 = 0) b ON a.k = b.k)""",
+    FROM (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderstatus = 'F') a FULL JOIN (SELECT o_orderkey AS k, o_custkey AS v FROM orders WHERE o_orderpriority = '5-LOW') b ON a.k = b.k)""",
 )
 def merge_ordered_ffill(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    a = o.filter("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("x"))
-    return joining.merge_ordered(a, o.filter("o_orderkey % 6 = 0").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("y")), "k", fill_method="ffill")
+    a = o.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("x"))
+    return joining.merge_ordered(a, o.filter("o_orderpriority = '5-LOW'").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("y")), "k", fill_method="ffill")
 
 
 _ASOF_SIDES = "p AS (SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'purchase'), c AS (SELECT event_id AS click_id, user_id, ts, value AS click_value FROM events WHERE event_type = 'click')"
@@ -130,30 +130,30 @@ def merge_asof_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joining.merge_asof(p, c, on="ts", by="user_id", direction="nearest").select("event_id", "click_id")
 
 
-@register("align_outer", "SELECT k, a.n_name AS left_name, b.n_name AS right_name FROM (SELECT n_nationkey AS k, n_name FROM nation WHERE n_nationkey < 15) a FULL JOIN (SELECT n_nationkey AS k, n_name FROM nation WHERE n_nationkey > 10) b USING (k)")
+@register("align_outer", "SELECT k, a.n_name AS left_name, b.n_name AS right_name FROM (SELECT n_nationkey AS k, n_name FROM nation WHERE n_regionkey <= 2) a FULL JOIN (SELECT n_nationkey AS k, n_name FROM nation WHERE n_regionkey >= 2) b USING (k)")
 def align_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), "n_name")
-    a, b = joining.align(n.filter("k < 15"), n.filter("k > 10"), "k")
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), "n_name", "n_regionkey")
+    a, b = joining.align(n.filter("n_regionkey <= 2").drop("n_regionkey"), n.filter("n_regionkey >= 2").drop("n_regionkey"), "k")
     return a.select("k", F.col("n_name").alias("left_name")).join(b.select("k", F.col("n_name").alias("right_name")), "k")
 
 
 @register(
     "update_combine_first",
-    """WITH a AS (SELECT event_id AS k, CASE WHEN event_id % 7 <> 0 THEN value END AS v FROM events WHERE event_id < 300), b AS (SELECT event_id AS k, CASE WHEN event_id % 5 <> 0 THEN -value END AS v FROM events WHERE event_id >= 200 AND event_id < 400)
+    """WITH a AS (SELECT event_id AS k, CASE WHEN event_id % 7 <> 0 THEN value END AS v FROM events WHERE value > 10), b AS (SELECT event_id AS k, CASE WHEN event_id % 5 <> 0 THEN -value END AS v FROM events WHERE event_type <> 'view')
     SELECT 'update' AS how, a.k, coalesce(b.v, a.v) AS v FROM a LEFT JOIN b USING (k) UNION ALL SELECT 'first', k, coalesce(a.v, b.v) FROM a FULL JOIN b USING (k)""",
 )
 def update_combine_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    a = e.filter("event_id < 300").select(F.col("event_id").alias("k"), F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("v"))
-    b = e.filter("event_id >= 200 and event_id < 400").select(F.col("event_id").alias("k"), F.when(F.col("event_id") % 5 != 0, -F.col("value")).alias("v"))
+    a = e.filter("value > 10").select(F.col("event_id").alias("k"), F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("v"))
+    b = e.filter("event_type <> 'view'").select(F.col("event_id").alias("k"), F.when(F.col("event_id") % 5 != 0, -F.col("value")).alias("v"))
     shown = lambda how, d: d.select(F.lit(how).alias("how"), "k", "v")
     return shown("update", joining.overlay(a, b, "k")).union(shown("first", joining.overlay(a, b, "k", "combine_first")))
 
 
-@register("combine_frames", "SELECT coalesce(a.k, b.k) AS k, greatest(coalesce(a.v, 0), coalesce(b.v, 0)) AS v FROM (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 2 = 0) a FULL JOIN (SELECT c_custkey AS k, 5000.0 AS v FROM customer WHERE c_custkey % 3 = 0) b ON a.k = b.k")
+@register("combine_frames", "SELECT coalesce(a.k, b.k) AS k, greatest(coalesce(a.v, 0), coalesce(b.v, 0)) AS v FROM (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_acctbal > 0) a FULL JOIN (SELECT c_custkey AS k, 5000.0 AS v FROM customer WHERE c_mktsegment = 'BUILDING') b ON a.k = b.k")
 def combine_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
-    a, b = c.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v")), c.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.lit(5000.0).alias("v"))
+    a, b = c.filter("c_acctbal > 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v")), c.filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("k"), F.lit(5000.0).alias("v"))
     return joining.combine(a, b, "k", F.greatest, 0.0)
 
 

@@ -159,9 +159,9 @@ def rename_prefix_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selecting.add_suffix(selecting.add_prefix(selecting.rename(table(spark, sf_dir, "nation"), {"n_nationkey": "key"}), "a_"), "_z")
 
 
-@register("astype_cast", "SELECT p_partkey::INT AS p_partkey, p_size::DOUBLE AS p_size, p_retailprice::BIGINT AS p_retailprice, try_cast(replace(p_brand, 'Brand#', '') AS DOUBLE) AS brand_no, try_cast(p_type AS DOUBLE) AS no_number FROM part WHERE p_retailprice = floor(p_retailprice)")
+@register("astype_cast", "SELECT p_partkey::INT AS p_partkey, p_size::DOUBLE AS p_size, trunc(p_retailprice)::BIGINT AS p_retailprice, try_cast(replace(p_brand, 'Brand#', '') AS DOUBLE) AS brand_no, try_cast(p_type AS DOUBLE) AS no_number FROM part")
 def astype_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").filter("p_retailprice = floor(p_retailprice)")
+    p = table(spark, sf_dir, "part")
     return p.select(F.col("p_partkey").cast("int"), F.col("p_size").cast("double"), F.col("p_retailprice").cast("bigint"), E.to_numeric(F.replace("p_brand", F.lit("Brand#"), F.lit(""))).alias("brand_no"), E.to_numeric(F.col("p_type"), "coerce").alias("no_number"))
 
 
@@ -213,7 +213,7 @@ def infer_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("repeat_rows", "SELECT n_nationkey FROM nation, range(3) UNION ALL SELECT n_nationkey + 100 FROM nation, range(5) t(i) WHERE i < n_nationkey % 3")
 def repeat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select("n_nationkey")
-    return reshaping.repeat(n, 3).union(n.filter("n_nationkey % 3 > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n_nationkey") % 3))).select(F.col("n_nationkey") + 100))
+    return reshaping.repeat(n, 3).union(reshaping.repeat(n, F.col("n_nationkey") % 3).select(F.col("n_nationkey") + 100))
 
 
 @register("sort_mixed", "SELECT o_orderkey, rank AS rank FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderstatus DESC, o_totalprice, o_orderkey) - 1 AS rank FROM orders)")

@@ -33,9 +33,9 @@ def melt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshaping.melt(table(spark, sf_dir, "part"), "p_partkey", ["p_brand", "p_type"])
 
 
-@register("pivot", "SELECT conv_id, max(length(text)) FILTER (turn = 0)::INT AS t0, max(length(text)) FILTER (turn = 1)::INT AS t1 FROM conversations WHERE turn < 2 GROUP BY conv_id")
+@register("pivot", "SELECT conv_id, " + ", ".join(f"max(length(text)) FILTER (turn = {k})::INT AS t{k}" for k in range(8)) + " FROM conversations GROUP BY conv_id")
 def pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").filter("turn < 2").select("conv_id", F.concat(F.lit("t"), "turn").alias("t"), F.char_length("text").alias("n"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.concat(F.lit("t"), "turn").alias("t"), F.char_length("text").alias("n"))
     return reshaping.pivot(c, "conv_id", "t", "n")
 
 
@@ -44,13 +44,13 @@ def pivot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(reshaping.pivot_table(table(spark, sf_dir, "lineitem"), "l_quantity", "l_returnflag", "l_linestatus"), "F", "O")
 
 
-@register(
-    "pivot_table_margins",
-    "SELECT coalesce(o_orderstatus, 'All') AS o_orderstatus, round(sum(o_totalprice) FILTER (o_orderpriority = '1-URGENT'), 2) AS \"1-URGENT\", round(sum(o_totalprice) FILTER (o_orderpriority = '5-LOW'), 2) AS \"5-LOW\", round(sum(o_totalprice), 2) AS \"All\" FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY ROLLUP (o_orderstatus)",
-)
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+@register("pivot_table_margins", "SELECT coalesce(o_orderstatus, 'All') AS o_orderstatus, " + ", ".join(f"round(sum(o_totalprice) FILTER (o_orderpriority = '{p}'), 2) AS \"{p}\"" for p in PRIORITIES) + ", round(sum(o_totalprice), 2) AS \"All\" FROM orders GROUP BY ROLLUP (o_orderstatus)")
 def pivot_table_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").filter("o_orderpriority in ('1-URGENT', '5-LOW')")
-    return rounded(reshaping.pivot_table(o, "o_totalprice", "o_orderstatus", "o_orderpriority", "sum", margins=True), "1-URGENT", "5-LOW", "All", digits=2)
+    return rounded(reshaping.pivot_table(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderstatus", "o_orderpriority", "sum", margins=True), *PRIORITIES, "All", digits=2)
 
 
 @register("crosstab", "SELECT l_returnflag, count(*) FILTER (l_linestatus = 'F') AS F, count(*) FILTER (l_linestatus = 'O') AS O FROM lineitem GROUP BY l_returnflag")
@@ -68,9 +68,9 @@ def stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshaping.stack(events(spark, sf_dir).select("event_id", "v", "value"), "event_id")
 
 
-@register("unstack", "SELECT c_nationkey, coalesce(count(*) FILTER (c_mktsegment = 'BUILDING'), 0) AS \"BUILDING\", coalesce(count(*) FILTER (c_mktsegment = 'MACHINERY'), 0) AS \"MACHINERY\" FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY c_nationkey")
+@register("unstack", "SELECT c_nationkey, " + ", ".join(f"count(*) FILTER (c_mktsegment = '{x}') AS \"{x}\"" for x in SEGMENTS) + " FROM customer GROUP BY c_nationkey")
 def unstack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").filter("c_mktsegment in ('BUILDING', 'MACHINERY')").groupBy("c_nationkey", "c_mktsegment").count()
+    c = table(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").count()
     return reshaping.unstack(c, "c_nationkey", "c_mktsegment", "count", 0)
 
 
@@ -150,9 +150,9 @@ def hist_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshaping.hist(table(spark, sf_dir, "events"), "value", 8)
 
 
-@register("transpose_small", "SELECT 'n_nationkey' AS key, max(n_nationkey::VARCHAR) FILTER (r = 0) AS \"0\", max(n_nationkey::VARCHAR) FILTER (r = 1) AS \"1\", max(n_nationkey::VARCHAR) FILTER (r = 2) AS \"2\" FROM (SELECT *, n_nationkey AS r FROM nation WHERE n_nationkey < 3) UNION ALL SELECT 'n_name', max(n_name) FILTER (n_nationkey = 0), max(n_name) FILTER (n_nationkey = 1), max(n_name) FILTER (n_nationkey = 2) FROM nation WHERE n_nationkey < 3")
+@register("transpose_small", "SELECT 'r_regionkey' AS key, " + ", ".join(f"max(r_regionkey::VARCHAR) FILTER (r_regionkey = {k}) AS \"{k}\"" for k in range(5)) + " FROM region UNION ALL SELECT 'r_name', " + ", ".join(f"max(r_name) FILTER (r_regionkey = {k})" for k in range(5)) + " FROM region")
 def transpose_small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation").filter("n_nationkey < 3").select(F.col("n_nationkey").alias("r"), F.col("n_nationkey").cast("string").alias("n_nationkey"), "n_name")
+    n = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("r"), F.col("r_regionkey").cast("string").alias("r_regionkey"), "r_name")
     return reshaping.transpose(n, "r")
 
 

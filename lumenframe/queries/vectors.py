@@ -68,10 +68,9 @@ def array_hstack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.sdf.select("event_id", "value", F.col("__h0").alias("other"))
 
 
-@register("array_matrix_product", "SELECT round(sum(value * value), 2) AS aa, round(sum(value * user_id), 2) AS ab, round(sum(user_id * user_id), 2)::DOUBLE AS bb FROM events WHERE event_id < 200")
+@register("array_matrix_product", "SELECT sum(n_nationkey * n_nationkey)::DOUBLE AS aa, sum(n_nationkey * n_regionkey)::DOUBLE AS ab, sum(n_regionkey * n_regionkey)::DOUBLE AS bb FROM nation")
 def array_matrix_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _pair(spark, sf_dir)
-    a = A.Array(a.sdf.filter("event_id < 200"), a.columns, a.order)
+    a = A.Array(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("i"), "n_nationkey", "n_regionkey"), ["n_nationkey", "n_regionkey"], ["i"])
     rows = a.transpose().dot(a).sdf.orderBy("row").collect()
     return spark.createDataFrame([(round(rows[0]["0"], 2), round(rows[0]["1"], 2), round(rows[1]["1"], 2))], "aa double, ab double, bb double")
 
@@ -159,11 +158,13 @@ def table_fill_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, "mean")
 
 
-@register("table_pivot_unstack", "SELECT user_id, round(sum(value) FILTER (event_type = 'click'), 2) AS click, round(sum(value) FILTER (event_type = 'error'), 2) AS error FROM events WHERE event_type IN ('click', 'error') GROUP BY user_id")
+KINDS = ("click", "error", "purchase", "signup", "view")
+
+
+@register("table_pivot_unstack", "SELECT user_id, " + ", ".join(f"round(sum(value) FILTER (event_type = '{k}'), 2) AS {k}" for k in KINDS) + " FROM events GROUP BY user_id")
 def table_pivot_unstack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = Table(table(spark, sf_dir, "events").filter("event_type in ('click', 'error')"))
-    out = t.pivot("event_type", "user_id", "value", "sum").sdf
-    return rounded(out, "click", "error", digits=2)
+    out = Table(table(spark, sf_dir, "events")).pivot("event_type", "user_id", "value", "sum").sdf
+    return rounded(out.select("user_id", *[F.when(F.col(k) != 0, F.col(k)).alias(k) for k in KINDS]), *KINDS, digits=2)
 
 
 @register("table_group_reductions", "SELECT event_type, round(avg(value), 6) AS mean, max(value) AS max, min(value) AS min, round(median(value), 6) AS median, round(sum(value), 2) AS sum, count(value) AS count FROM events GROUP BY event_type")
@@ -193,10 +194,10 @@ def table_partition_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@register("table_stacks", "SELECT event_id, count(*) AS n FROM (SELECT event_id FROM events UNION ALL SELECT event_id FROM events WHERE event_id < 100) GROUP BY event_id")
+@register("table_stacks", "SELECT event_id, count(*) AS n FROM (SELECT event_id FROM events UNION ALL SELECT event_id FROM events WHERE value > 20) GROUP BY event_id")
 def table_stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = Table(table(spark, sf_dir, "events").select("event_id"), ["event_id"])
-    return t.vstack(t.filter(F.col("event_id") < 100)).group_by("event_id").len("n").sdf
+    t = Table(table(spark, sf_dir, "events").select("event_id", "value"), ["event_id"])
+    return t.vstack(t.filter(F.col("value") > 20)).group_by("event_id").len("n").sdf
 
 
 @register("table_map_rows", "SELECT n_nationkey * 2 AS a, upper(n_name) AS b FROM nation")
@@ -210,10 +211,10 @@ def table_rolling_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(t.sdf.select("event_id", "s"), "s", digits=2)
 
 
-@register("table_upsample", "WITH d AS (SELECT date_trunc('day', ts) AS ts, count(*) AS n FROM events WHERE day(ts) % 2 = 0 GROUP BY 1) SELECT s.ts, d.n FROM (SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 1 DAY)) AS ts FROM d) s LEFT JOIN d USING (ts)")
+@register("table_upsample", "WITH d AS (SELECT date_trunc('day', ts) AS ts, count(*) AS n FROM events GROUP BY 1) SELECT s.ts, d.n FROM (SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 8 HOUR)) AS ts FROM d) s LEFT JOIN d USING (ts)")
 def table_upsample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "events").filter("day(ts) % 2 = 0").groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts")).agg(F.count("*").alias("n"))
-    return Table(d, ["ts"]).upsample("ts", "D").sdf
+    d = table(spark, sf_dir, "events").groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts")).agg(F.count("*").alias("n"))
+    return Table(d, ["ts"]).upsample("ts", "8h").sdf
 
 
 @register("table_join_asof", "WITH p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), c AS (SELECT event_id AS click_id, user_id, ts FROM events WHERE event_type = 'click') SELECT p.event_id, c.click_id FROM p ASOF LEFT JOIN c ON p.user_id = c.user_id AND p.ts <= c.ts")
@@ -312,9 +313,9 @@ def vector_interpolate_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_with(Table(e, ["event_id"])["v"].interpolate_by("event_id"), "w").sdf.select("event_id", "w"), "w")
 
 
-@register("vector_implode", "SELECT list(event_id ORDER BY event_id) AS event_id FROM events WHERE user_id = 2")
+@register("vector_implode", "SELECT list(event_id ORDER BY event_id) AS event_id FROM events")
 def vector_implode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Table(table(spark, sf_dir, "events").filter("user_id = 2"), ["event_id"])["event_id"].implode().sdf
+    return Table(table(spark, sf_dir, "events"), ["event_id"])["event_id"].implode().sdf
 
 
 @register("vector_map_elements", "SELECT event_id, length(event_type)::BIGINT AS n FROM events")

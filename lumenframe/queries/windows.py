@@ -129,21 +129,22 @@ def expanding_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "ewm_mean_recursive",
-    """WITH RECURSIVE n AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE user_id < 5), r AS (SELECT event_id, user_id, k, value AS m FROM n WHERE k = 1
+    """WITH RECURSIVE n AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events), r AS (SELECT event_id, user_id, k, value AS m FROM n WHERE k = 1
     UNION ALL SELECT n.event_id, n.user_id, n.k, 0.3 * n.value + 0.7 * r.m FROM r JOIN n ON n.user_id = r.user_id AND n.k = r.k + 1) SELECT event_id, round(m, 6) AS m FROM r""",
 )
 def ewm_mean_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter("user_id < 5")
+    e = table(spark, sf_dir, "events")
     return rounded(windowing.ewm(e, ORDER, "value", "m", ["user_id"], alpha=0.3, adjust=False), "m").select("event_id", "m")
 
 
+# Weights below 0.8^250 are no more than rounding.
 @register(
     "ewm_mean_whole",
-    f"""WITH RECURSIVE {EVENTS}, n AS (SELECT event_id, v, row_number() OVER (ORDER BY event_id) AS k FROM e WHERE event_id < 400), r AS (SELECT event_id, k, coalesce(v, 0)::DOUBLE AS a, (v IS NOT NULL)::INT::DOUBLE AS b FROM n WHERE k = 1
-    UNION ALL SELECT n.event_id, n.k, coalesce(n.v, 0) + 0.8::DOUBLE * r.a, (n.v IS NOT NULL)::INT + 0.8::DOUBLE * r.b FROM r JOIN n ON n.k = r.k + 1) SELECT event_id, CASE WHEN b > 0 THEN round(a / b, 6) END AS m FROM r""",
+    f"""WITH {EVENTS}, l AS (SELECT event_id, list(coalesce(v, 0)) OVER w AS a, list((v IS NOT NULL)::INT) OVER w AS b FROM e WINDOW w AS (ORDER BY event_id ROWS 250 PRECEDING))
+    SELECT event_id, CASE WHEN list_sum(b) > 0 THEN round(list_sum(list_transform(a, lambda x, i: x * pow(0.8::DOUBLE, len(a) - i))) / list_sum(list_transform(b, lambda x, i: x * pow(0.8::DOUBLE, len(b) - i))), 6) END AS m FROM l""",
 )
 def ewm_mean_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = windowing.ewm(events(spark, sf_dir).filter("event_id < 400"), ORDER, "v", "m", alpha=0.2)
+    out = windowing.ewm(events(spark, sf_dir), ORDER, "v", "m", alpha=0.2)
     return rounded(out, "m").select("event_id", "m")
 
 
@@ -284,17 +285,17 @@ def resample_closed_right(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "resample_by_user",
-    """WITH b AS (SELECT user_id, date_trunc('day', ts) AS ts, count(*) AS n FROM events WHERE user_id < 20 GROUP BY ALL), c AS (SELECT user_id, unnest(generate_series(min(ts), max(ts), INTERVAL 1 DAY)) AS ts FROM b GROUP BY user_id) SELECT user_id, ts, coalesce(n, 0) AS n FROM c LEFT JOIN b USING (user_id, ts)""",
+    """WITH b AS (SELECT user_id, date_trunc('day', ts) AS ts, count(*) AS n FROM events GROUP BY ALL), c AS (SELECT user_id, unnest(generate_series(min(ts), max(ts), INTERVAL 1 DAY)) AS ts FROM b GROUP BY user_id) SELECT user_id, ts, coalesce(n, 0) AS n FROM c LEFT JOIN b USING (user_id, ts)""",
 )
 def resample_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resampling.resample(table(spark, sf_dir, "events").filter("user_id < 20"), "D", "ts", {"n": (None, "size")}, by=["user_id"])
+    return resampling.resample(table(spark, sf_dir, "events"), "D", "ts", {"n": (None, "size")}, by=["user_id"])
 
 
-_DAILY = "d AS (SELECT date_trunc('day', ts) AS ts, round(sum(value), 2) AS v FROM events WHERE extract('day' FROM ts) % 3 = 1 GROUP BY 1), c AS (SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 12 HOUR)) AS ts FROM d)"
+_DAILY = "d AS (SELECT date_trunc('day', ts) AS ts, round(sum(value), 2) AS v FROM events GROUP BY 1), c AS (SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 12 HOUR)) AS ts FROM d)"
 
 
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter("day(ts) % 3 = 1")
+    e = table(spark, sf_dir, "events")
     return rounded(resampling.resample(e, "D", "ts", {"v": ("value", "sum")}, empty=False), "v", digits=2)
 
 
@@ -326,9 +327,9 @@ def resample_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", r(F.col("value") / F.col("s")).alias("share"))
 
 
-@register("resample_groups", "SELECT date_trunc('day', ts) AS ts, list(event_id ORDER BY event_id) AS labels FROM events WHERE user_id = 4 GROUP BY 1")
+@register("resample_groups", "SELECT date_trunc('day', ts) AS ts, list(event_id ORDER BY event_id) AS labels FROM events GROUP BY 1")
 def resample_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resampling.groups(table(spark, sf_dir, "events").filter("user_id = 4"), "D", "ts", "event_id")
+    return resampling.groups(table(spark, sf_dir, "events"), "D", "ts", "event_id")
 
 
 @register("resample_get_group", "SELECT event_id FROM events WHERE date_trunc('hour', ts) = TIMESTAMP '2024-01-02 03:00:00'")
