@@ -175,11 +175,11 @@ def groupby_two_keys_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Groups(table(spark, sf_dir, "orders").withColumn("y", F.year("o_orderdate")), ["y", "o_orderpriority"]).size()
 
 
-@register("groupby_dropna", "SELECT nullif(event_id % 4, 0) AS k, count(*) AS size FROM events GROUP BY ALL")
+@register("groupby_dropna", "WITH g AS (SELECT nullif(event_id % 4, 0) AS k, count(*) AS size FROM events GROUP BY ALL) SELECT 'kept' AS missing, * FROM g UNION ALL SELECT 'dropped', * FROM g WHERE k IS NOT NULL")
 def groupby_dropna(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("k", F.expr("nullif(event_id % 4, 0)"))
-    kept = Groups(e, "k", dropna=False).size()
-    return kept if Groups(e, "k").ngroups() == 3 else kept.limit(0)
+    parts = [Groups(e, "k", dropna=d).size().select(F.lit(name).alias("missing"), "k", "size") for d, name in ((False, "kept"), (True, "dropped"))]
+    return parts[0].union(parts[1])
 
 
 @register("groupby_first_last_nth", f"WITH {EVENTS} SELECT user_id, arg_min(v, event_id) FILTER (v IS NOT NULL) AS first, arg_max(v, event_id) FILTER (v IS NOT NULL) AS last, (list(event_id ORDER BY event_id))[3] AS third, (list(event_id ORDER BY event_id DESC))[2] AS last_but_one FROM e GROUP BY user_id")
