@@ -9,6 +9,9 @@ line has the characters of each of 16 kinds: an edit moves two of these counts b
 further apart go where they meet. What is left is verified exactly by a banded bit-parallel edit distance. Classes are the
 connected components of the links; of a class the first line stays.
 
+Long lines that differ by more than EDITS are not linked, though they may be alike by the share of their length; README gives
+how many that are.
+
 Cost: where many distinct lines of like length share a segment, their signatures are compared in blocks, each with each; only
 those that may be linked leave the task.
 """
