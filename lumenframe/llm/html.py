@@ -2,9 +2,10 @@
 
 A page becomes a list of text blocks in page order, each with its path of block-level tags from the root. For each path the
 text length and the punctuation of all its blocks are summed and divided by the number of blocks; both ratios are smoothed
-along the page, fused by their product, and compared to a threshold taken from their spread. The blocks of the chosen paths
-give the element that holds nearly all of them; unless that is the whole body, what else it holds is kept too but for lists
-of links, and so are headings and short blocks next to chosen ones.
+along the page, fused by their product, and compared to a threshold taken from their spread. All blocks of
+the chosen paths are kept. They give the element that holds nearly all of them; unless that is the whole body, what else it
+holds is kept too but for lists of links, and so are short blocks next to chosen ones. Headings stay with the block they stand
+over, and so does the last h1 before the text; those of a header outside articles only where that block is no heading itself, so that the text has no other title.
 What its tag or its class says is no article (menus, notices, comments, forms ...) never takes part.
 """
 
@@ -48,41 +49,43 @@ ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:
 SIGMA, THRESHOLD, ROOT_SHARE = 1.0, 0.5, 0.9
 
 
-def _boilerplate(tag: str, attributes: str, inside_article: bool) -> tuple[bool, str]:
-    """Whether the element is set aside, and its step in a path."""
-    if tag in DROPPED_TAGS or (tag == "header" and not inside_article):
-        return True, tag
+def _boilerplate(tag: str, attributes: str, inside_article: bool) -> tuple[int, str]:
+    """Whether the element is set aside (2, or 1 for a header that nothing but its place says to be the site's), and its step in a path."""
+    if tag in DROPPED_TAGS:
+        return 2, tag
     names = ""
+    site = tag == "header" and not inside_article
     if attributes and tag not in ("html", "body"):
         for key, *values in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), next((v for v in values if v), "")
             if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-                return True, tag
+                return 2, tag
             if key == "role" and value.lower() in DROPPED_ROLES:
-                return True, tag
+                return 2, tag
             if key in ("class", "id"):
                 words = {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", value)}
                 if words & DROPPED_WORDS and tag not in ("article", "main"):
-                    return True, tag
+                    return 2, tag
                 if "header" in words and not inside_article and not words & ARTICLE_WORDS and tag not in HEADINGS:
-                    return True, tag
+                    return 2, tag
+                site = site and not words & ARTICLE_WORDS
                 if key == "class":
                     names = "." + ".".join(sorted(value.split()))
-    return False, tag + names
+    return int(site), tag + names
 
 
 class Block:
-    """Text of one block: its path, the elements (numbers) it lies in, and how much of it is in links."""
+    """Text of one block: its path, the elements (numbers) it lies in, how much of it is in links, and whether a header by itself holds it."""
 
-    __slots__ = ("path", "inside", "tag", "text", "linked")
+    __slots__ = ("path", "inside", "tag", "text", "linked", "masthead")
 
-    def __init__(self, path: str, inside: tuple[int, ...], tag: str, text: str, linked: int):
-        self.path, self.inside, self.tag, self.text, self.linked = path, inside, tag, text, linked
+    def __init__(self, path: str, inside: tuple[int, ...], tag: str, text: str, linked: int, masthead: bool = False):
+        self.path, self.inside, self.tag, self.text, self.linked, self.masthead = path, inside, tag, text, linked, masthead
 
 
 def blocks(page: str) -> tuple[list[Block], set[int], set[int]]:
-    """All text blocks that may be content, in page order, and the numbers of article and main elements and of html and body."""
-    stack: list[tuple[str, int, bool, str]] = []  # tag, number, set aside, path
+    """All text blocks that may be content, in page order (of a header by itself, its headings), and the numbers of article and main elements and of html and body."""
+    stack: list[tuple[str, int, int, str]] = []  # tag, number, set aside, path
     out: list[Block] = []
     articles: set[int] = set()
     whole: set[int] = set()
@@ -94,8 +97,8 @@ def blocks(page: str) -> tuple[list[Block], set[int], set[int]]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         parts.clear()
-        if text and stack and not stack[-1][2]:
-            out.append(Block(stack[-1][3], tuple(x[1] for x in stack), stack[-1][0], text, linked))
+        if text and stack and (not stack[-1][2] or stack[-1][2] == 1 and stack[-1][0] in HEADINGS):
+            out.append(Block(stack[-1][3], tuple(x[1] for x in stack), stack[-1][0], text, linked, stack[-1][2] == 1))
         elif text and not stack:
             out.append(Block("", (), "", text, linked))
         linked = 0
@@ -161,13 +164,13 @@ def blocks(page: str) -> tuple[list[Block], set[int], set[int]]:
                 break
         number += 1
         aside, step = _boilerplate(tag, m[3], any(x[1] in articles for x in stack))
-        above = stack[-1] if stack else ("", 0, False, "")
+        above = stack[-1] if stack else ("", 0, 0, "")
         if tag in ("article", "main") or re.search(r"role\s*=\s*[\"']?(?:main|article)\b", m[3] or ""):
             articles.add(number)
         elif tag in ("html", "body"):
             whole.add(number)
         if not m[3].endswith("/"):
-            stack.append((tag, number, above[2] or aside, f"{above[3]}/{step}"))
+            stack.append((tag, number, max(above[2], aside), f"{above[3]}/{step}"))
     flush()
     return out, articles, whole
 
@@ -185,7 +188,8 @@ def main_text(page: str | None) -> str:
     """
     if not page:
         return ""
-    found, articles, whole = blocks(page)
+    every, articles, whole = blocks(page)
+    found = [b for b in every if not b.masthead]
     if articles and (within := [b for b in found if articles.intersection(b.inside)]):
         outer = [b for b in within if b.linked <= 0.6 * len(b.text) or b.tag in HEADINGS]
         found = outer or within
@@ -208,13 +212,18 @@ def main_text(page: str | None) -> str:
             weight[e] = weight.get(e, 0) + len(b.text)
     root = max((e for e, w in weight.items() if w >= ROOT_SHARE * total), default=0)
     homes = {b.inside[-2] if len(b.inside) > 1 else 0 for b in picked} | {root}
-    kept = []
+    kept = set()
     for b in found:
         inside = not root or root in b.inside
         part = root not in whole and root in b.inside or b.tag in HEADINGS or homes.intersection(b.inside[-2:])
-        if inside and (chosen[paths[b.path]] or (part and b.linked <= 0.5 * len(b.text)) or articles.intersection(b.inside)):
-            kept.append(b.text)
-    return "\n\n".join(kept)
+        if chosen[paths[b.path]] or articles.intersection(b.inside) or (inside and part and b.linked <= 0.5 * len(b.text)):
+            kept.add(b)
+    start = next((k for k, b in enumerate(every) if b in kept), 0)
+    kept.update([b for b in every[:start] if b.tag == "h1" and not b.masthead][-1:])
+    for b, after in zip(every[-2::-1], every[:0:-1]):
+        if b.tag in HEADINGS and after in kept and not (b.masthead and after.tag in HEADINGS):
+            kept.add(b)
+    return "\n\n".join(b.text for b in every if b in kept)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

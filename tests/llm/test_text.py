@@ -129,6 +129,23 @@ def test_other_templates():
     assert html.main_text(page).split("\n\n") == ["A story of rain", "It rained all day, and the river rose. People moved.", "By night, the water had come; nobody crossed it & nobody tried.", "Water: 3 m"]
 
 
+LONG = "It rained all day, and the river rose. People moved, and nobody, not one, came back. By night the water had come, and the bridge, which was old, could not be crossed by us."
+
+
+@pytest.mark.parametrize("around", [("<article>", "</article>"), ("<div>", "</div>"), ("", ""), ("<main>", "</main>")])
+@pytest.mark.parametrize("body", ["<div class=entry-content>{}</div>", "<blockquote>{}</blockquote>"])
+def test_title_lead_and_end_outside_the_body_stay(around, body):
+    lead, end = "A lead of some length, that says what happened, and where. It is short.", "So it ended, and all was said, as they told us. The end."
+    page = f"<html><body>{around[0]}<header><h1>A story of rain</h1></header><p class=lead>{lead}</p>{body.format(f'<p>{LONG}</p>' * 8)}<p>{end}</p>{around[1]}</body></html>"
+    assert html.main_text(page).split("\n\n") == ["A story of rain", lead, *[LONG] * 8, end]
+
+
+def test_headers_of_sites_and_of_texts():
+    page = "<body><header{}><h1>{}</h1><p>By a man</p></header><div id=c>{}" + f"<p>{LONG}</p>" * 3 + "</div></body>"
+    assert html.main_text(page.format("", "Site", "<h2>Story</h2>")).split("\n\n") == ["Story", *[LONG] * 3]
+    assert html.main_text(page.format(" class=entry-header", "Story", "")).split("\n\n")[0] == "Story"
+
+
 @pytest.mark.parametrize(("page", "text"), [(None, ""), ("", ""), ("plain words, no markup.", "plain words, no markup."), ("<p>a<p>b &lt;c&gt;", "a\n\nb <c>"), ("<script>x</script>", ""), ("<p>cut off <a hre", "cut off"), ("<!-- <p>no</p> --><p>yes</p>", "yes")])
 def test_odd_pages(page, text):
     assert html.main_text(page) == text
