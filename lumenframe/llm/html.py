@@ -4,7 +4,8 @@ A page becomes a list of text blocks in page order, each with its path of block-
 text length and the punctuation of all its blocks are summed and divided by the number of blocks; both ratios are smoothed
 along the page, fused by their product, and compared to a threshold taken from their spread. All blocks of
 the chosen paths are kept. They give the element that holds nearly all of them; unless that is the whole body, what else it
-holds is kept too but for lists of links, and so are short blocks next to chosen ones. Headings stay with the block they stand
+holds is kept too but for lists of links, and so are short blocks next to chosen ones. An article element decides nothing
+about which paths are chosen; one that holds chosen blocks keeps its other blocks too, lists of links among them. Headings stay with the block they stand
 over, and so does the last h1 before the text; those of a header outside articles only where that block is no heading itself, so that the text has no other title.
 What its tag or its class says is no article (menus, notices, comments, forms ...) never takes part.
 """
@@ -84,10 +85,11 @@ class Block:
 
 
 def blocks(page: str) -> tuple[list[Block], set[int], set[int]]:
-    """All text blocks that may be content, in page order (of a header by itself, its headings), and the numbers of article and main elements and of html and body."""
+    """All text blocks that may be content, in page order (of a header by itself, its headings), and the numbers of article elements and of html and body."""
     stack: list[tuple[str, int, int, str]] = []  # tag, number, set aside, path
     out: list[Block] = []
     articles: set[int] = set()
+    mains: set[int] = set()
     whole: set[int] = set()
     parts: list[str] = []
     linked = links = number = 0
@@ -163,10 +165,13 @@ def blocks(page: str) -> tuple[list[Block], set[int], set[int]]:
             elif stack[k][0] in SCOPES:
                 break
         number += 1
-        aside, step = _boilerplate(tag, m[3], any(x[1] in articles for x in stack))
+        aside, step = _boilerplate(tag, m[3], any(x[1] in articles or x[1] in mains for x in stack))
         above = stack[-1] if stack else ("", 0, 0, "")
-        if tag in ("article", "main") or re.search(r"role\s*=\s*[\"']?(?:main|article)\b", m[3] or ""):
+        role = re.search(r"role\s*=\s*[\"']?(main|article)\b", m[3] or "")
+        if tag == "article" or role and role[1] == "article":
             articles.add(number)
+        elif tag == "main" or role:
+            mains.add(number)
         elif tag in ("html", "body"):
             whole.add(number)
         if not m[3].endswith("/"):
@@ -190,9 +195,6 @@ def main_text(page: str | None) -> str:
         return ""
     every, articles, whole = blocks(page)
     found = [b for b in every if not b.masthead]
-    if articles and (within := [b for b in found if articles.intersection(b.inside)]):
-        outer = [b for b in within if b.linked <= 0.6 * len(b.text) or b.tag in HEADINGS]
-        found = outer or within
     if not found:
         return ""
     paths = {p: k for k, p in enumerate(dict.fromkeys(b.path for b in found))}
@@ -211,12 +213,13 @@ def main_text(page: str | None) -> str:
         for e in b.inside[:-1]:
             weight[e] = weight.get(e, 0) + len(b.text)
     root = max((e for e, w in weight.items() if w >= ROOT_SHARE * total), default=0)
+    held = articles.intersection(e for b in picked for e in b.inside)
     homes = {b.inside[-2] if len(b.inside) > 1 else 0 for b in picked} | {root}
     kept = set()
     for b in found:
         inside = not root or root in b.inside
         part = root not in whole and root in b.inside or b.tag in HEADINGS or homes.intersection(b.inside[-2:])
-        if chosen[paths[b.path]] or articles.intersection(b.inside) or (inside and part and b.linked <= 0.5 * len(b.text)):
+        if chosen[paths[b.path]] or held.intersection(b.inside) or (inside and part and b.linked <= 0.5 * len(b.text)):
             kept.add(b)
     start = next((k for k, b in enumerate(every) if b in kept), 0)
     kept.update([b for b in every[:start] if b.tag == "h1" and not b.masthead][-1:])

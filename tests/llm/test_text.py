@@ -146,6 +146,16 @@ def test_headers_of_sites_and_of_texts():
     assert html.main_text(page.format(" class=entry-header", "Story", "")).split("\n\n")[0] == "Story"
 
 
+def test_articles_do_not_replace_the_paths():
+    """Teasers that are articles do not displace a story that is in none; a story's article keeps its lists of links."""
+    cards = "".join(f"<article class=card><p><a href=/{k}>Teaser {k} of a day</a></p></article>" for k in range(4))
+    story = f"<h1>A story of rain</h1>{f'<p>{LONG}</p>' * 4}"
+    assert html.main_text(f"<body><div id=content>{story}</div><div>{cards}</div></body>").split("\n\n") == ["A story of rain", *[LONG] * 4]
+    assert html.main_text(f"<body><main>{cards}</main><div id=content>{story}</div></body>").split("\n\n") == ["A story of rain", *[LONG] * 4]
+    refs = "<p><a href=/a>A source of this, and more of it</a></p><ul><li><a href=/b>Another source</a></li></ul>"
+    assert html.main_text(f"<body><article>{story}{refs}</article></body>").split("\n\n") == ["A story of rain", *[LONG] * 4, "A source of this, and more of it", "Another source"]
+
+
 @pytest.mark.parametrize(("page", "text"), [(None, ""), ("", ""), ("plain words, no markup.", "plain words, no markup."), ("<p>a<p>b &lt;c&gt;", "a\n\nb <c>"), ("<script>x</script>", ""), ("<p>cut off <a hre", "cut off"), ("<!-- <p>no</p> --><p>yes</p>", "yes")])
 def test_odd_pages(page, text):
     assert html.main_text(page) == text
