@@ -2,11 +2,12 @@
 
 A page becomes a list of text blocks in page order, each with its path of block-level tags from the root. For each path the
 text length and the punctuation of all its blocks are summed and divided by the number of blocks; both ratios are smoothed
-along the page, fused by their product, and compared to a threshold taken from their spread. All blocks of
-the chosen paths are kept. They give the element that holds nearly all of them; unless that is the whole body, what else it
-holds is kept too but for lists of links, and so are short blocks next to chosen ones. An article element decides nothing
-about which paths are chosen; one that holds chosen blocks keeps its other blocks too, lists of links among them. Headings stay with the block they stand
-over, and so does the last h1 before the text; those of a header outside articles only where that block is no heading itself, so that the text has no other title.
+along the page, fused by their product, and compared to half of the greatest. All blocks of the chosen paths are kept.
+They give the element that holds nearly all of them; unless that is the whole body, what else it holds is kept too but for
+lists of links, and so are short blocks next to chosen ones. An article element decides nothing about which paths are chosen;
+one that holds chosen blocks keeps its other blocks too, lists of links among them. Headings stay with the block they stand
+over, and so does the last h1 before the text; those of a header outside articles only where that block is no heading itself,
+so that the text has no other title.
 What its tag or its class says is no article (menus, notices, comments, forms ...) never takes part.
 """
 
@@ -46,7 +47,7 @@ SCOPES = frozenset("table ul ol dl html body article section div main td th nav
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
-#: Standard deviation of the smoothing, in blocks; share of the fused ratios' spread that a path must reach; share of the chosen text that the root holds.
+#: Standard deviation of the smoothing, in blocks; share of the greatest fused ratio that a path must reach; share of the chosen text that the root holds.
 SIGMA, THRESHOLD, ROOT_SHARE = 1.0, 0.5, 0.9
 
 
@@ -85,7 +86,10 @@ class Block:
 
 
 def blocks(page: str) -> tuple[list[Block], set[int], set[int]]:
-    """All text blocks that may be content, in page order (of a header by itself, its headings), and the numbers of article elements and of html and body."""
+    """All text blocks that may be content, in page order, and the numbers of article elements and of html and body.
+
+    Of a header that may be the site's only headings are there, marked as masthead.
+    """
     stack: list[tuple[str, int, int, str]] = []  # tag, number, set aside, path
     out: list[Block] = []
     articles: set[int] = set()
@@ -205,7 +209,7 @@ def main_text(page: str | None) -> str:
     length, punctuation = np.bincount(of, size) / nodes, np.bincount(of, marks) / nodes
     fused = np.log1p(_smooth(length[of])) * np.log1p(1 + _smooth(punctuation[of]))
     by_path = np.bincount(of, fused) / nodes
-    chosen = by_path >= THRESHOLD * max(float(by_path.std()), float(by_path.max()))
+    chosen = by_path >= THRESHOLD * float(by_path.max())
     picked = [b for b in found if chosen[paths[b.path]]]
     total = sum(len(b.text) for b in picked)
     weight: dict[int, int] = {}
