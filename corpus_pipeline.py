@@ -1,6 +1,7 @@
 """From raw documents to token ids: five stages, each one operator of lumenframe.llm at its production parameters.
 
-The near-duplicate stage takes the parameters that the contract of its operator fixes (three-word shingles, two bits).
+The near-duplicate stage takes the parameters that the contract of its operator fixes (three-word shingles, two bits); README gives the recall
+that it has by them.
 """
 
 from __future__ import annotations
