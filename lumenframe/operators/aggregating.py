@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,8 +134,8 @@ def _spearman_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def corr(df: DataFrame, columns: Sequence[str] | None = None, method: str = "pearson", min_periods: int = 1) -> DataFrame:
-    """(x, y, corr) for each pair of columns, over the rows where both are there. spearman ranks each column first; kendall is
-    counted from the joint table of distinct pairs."""
+    """(x, y, corr) for each pair of columns, over the rows where both are there. spearman ranks each column first; kendall
+    counts discordant pairs by sorted inversions over ranges of the distinct points."""
     columns = list(columns or numeric(df))
     if method == "kendall":
         return _kendall(df, columns)
@@ -153,27 +155,94 @@ def _pairs(df: DataFrame, columns: list[str], f: Callable[[Column, Column], Colu
     return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"p{k}").alias(name)) for k, (a, b) in enumerate(pairs)])).alias("v")).select("v.*")
 
 
-#: Distinct value pairs up to which Kendall's tau is counted pair by pair.
-KENDALL_PAIRS = 20_000
+#: Distinct points that a range of Kendall's tau has at least, and ranges at most, whose square is the number of sums the driver sees.
+KENDALL_POINTS, KENDALL_RANGES = 5_000, 1_000
+
+
+def _lexical(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Complex numbers, which numpy orders by the first part and then by the second."""
+    out = np.empty(len(first), complex)
+    out.real, out.imag = first, second
+    return out
+
+
+def _inversions(rank: np.ndarray, weight: np.ndarray) -> int:
+    """Sum of weight[i] * weight[j] over i < j with rank[i] > rank[j]; ranks are different. Bit by bit from the highest."""
+    total = 0
+    for bit in reversed(range(int(rank.max(initial=0)).bit_length())):
+        above = rank >> (bit + 1)
+        one = (rank >> bit & 1).astype(bool)
+        seen = np.cumsum(np.where(one, weight, 0)) - np.where(one, weight, 0)
+        total += int(np.sum(np.where(one, 0, weight * (seen - seen[np.searchsorted(above, above)]))))
+        order = np.argsort(rank >> bit, kind="stable")
+        rank, weight = rank[order], weight[order]
+    return total
+
+
+def _discordant(points: DataFrame, number: int) -> int:
+    """Pairs of rows of the checkpointed distinct points (x, y, n) whose orders by x and by y differ, ties left out.
+
+    Points are dealt into ranges of (x, y) and of (y, x), so that a hot value is split too. A discordant pair is one that these
+    two orders sort differently: within a range of the first it is counted there; else within a range of the second, there;
+    else from the sums of the cells that two ranges make.
+    """
+    ranges = max(1, min(KENDALL_RANGES, number // KENDALL_POINTS))
+    some = np.array([tuple(r) for r in points.select("x", "y").sample(min(1.0, 100 * ranges / number), 5).collect()] if ranges > 1 else [], float).reshape(-1, 2)
+    by_x, by_y = (np.sort(_lexical(some[:, k], some[:, 1 - k])) for k in (0, 1))
+    by_x, by_y = (z[np.arange(1, ranges) * len(z) // ranges] if len(z) else z for z in (by_x, by_y))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            own = [np.searchsorted(by_x, _lexical(x, y), "right"), np.searchsorted(by_y, _lexical(y, x), "right")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(k.astype(np.int32)) for k in own)], ["x", "y", "n", "r", "q"])
+
+    def count(table: pa.Table, cells: bool) -> pa.Table:
+        x, y, n, r = (table.column(c).to_numpy() for c in ("x", "y", "n", "r"))
+        order = np.lexsort((y, x))
+        x, y, n, r = x[order], y[order], n[order], r[order]
+        rank = np.empty(len(x), np.int64)
+        rank[np.lexsort((x, y))] = np.arange(len(x))
+        found = _inversions(rank, n)
+        if cells:
+            own = np.empty(len(x), np.int64)
+            own[np.lexsort((rank, r))] = np.arange(len(x))
+            found -= _inversions(own, n)
+        return pa.table({"d": pa.array([found], pa.int64())})
+
+    placed = points.select("x", "y", "n").mapInArrow(place, "x double, y double, n bigint, r int, q int")
+    counted = placed.groupBy("r").applyInArrow(lambda t: count(t, False), "d bigint").unionByName(placed.groupBy("q").applyInArrow(lambda t: count(t, True), "d bigint"))
+    total = int(counted.agg(F.sum(F.col("d").cast("decimal(38,0)"))).first()[0])
+    cell = np.zeros((ranges, ranges), np.int64)
+    for r, q, n in placed.groupBy("r", "q").agg(F.sum("n")).collect():
+        cell[r, q] = n
+    below = np.cumsum(cell, 1) - cell
+    later = np.cumsum(below[::-1], 0)[::-1] - below
+    return total + int((cell * later).sum())
+
+
+def _tau(points: DataFrame) -> float | None:
+    pairs = lambda n: F.coalesce(F.sum((n.cast("decimal(38,0)") * (n - 1)) / 2).cast("decimal(38,0)"), F.lit(0))
+    number, rows, same = points.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), pairs(F.col("n"))).first()
+    tied = {c: int(points.groupBy(c).agg(F.sum("n").alias("n")).agg(pairs(F.col("n"))).first()[0]) for c in ("x", "y")}
+    all_ = rows * (rows - 1) // 2
+    scale = (all_ - tied["x"]) * (all_ - tied["y"])
+    if not scale:
+        return None
+    return (all_ - tied["x"] - tied["y"] + int(same) - 2 * _discordant(points, number)) / math.sqrt(scale)
 
 
 def _kendall(df: DataFrame, columns: list[str]) -> DataFrame:
-    """tau-b. Every two distinct points are compared, so the number of distinct points is checked first."""
-    rows = []
+    """tau-b, exact for any number of rows; null where a column has one value only."""
+    from lumenframe.plans.ordering import checkpoint
+
+    tau: dict[frozenset, float | None] = {}
     for a in columns:
         for b in columns:
-            points = df.select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).dropna().groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-            if points.limit(KENDALL_PAIRS + 1).count() > KENDALL_PAIRS:
-                raise ValueError(f"more than {KENDALL_PAIRS} distinct points: use spearman")
-            p, q = points.toDF("x1", "y1", "n1"), points.toDF("x2", "y2", "n2")
-            sign = F.signum((F.col("x1") - F.col("x2")) * (F.col("y1") - F.col("y2")))
-            weight = F.col("n1") * F.col("n2")
-            t = p.join(q, (F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2"))).agg(F.sum(sign * weight).alias("s"), F.sum(F.when(F.col("x1") != F.col("x2"), weight)).alias("dx"), F.sum(F.when(F.col("y1") != F.col("y2"), weight)).alias("dy"))
-            rows.append(t.select(F.lit(a).alias("x"), F.lit(b).alias("y"), (F.col("s") / F.sqrt(F.col("dx").cast("double") * F.col("dy").cast("double"))).alias("corr")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+            if frozenset((a, b)) not in tau:
+                points = df.select(F.col(f"`{a}`").cast("double").alias("x"), F.col(f"`{b}`").cast("double").alias("y")).dropna().groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+                tau[frozenset((a, b))] = _tau(checkpoint(points))
+    return df.sparkSession.createDataFrame([(a, b, tau[frozenset((a, b))]) for a in columns for b in columns], "x string, y string, corr double")
 
 
 def autocorr(df: DataFrame, column: str, order: Sequence[str], lag: int = 1) -> DataFrame:

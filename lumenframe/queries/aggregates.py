@@ -121,6 +121,15 @@ def corr_kendall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(aggregating.corr(c, ["c_nationkey", "band"], "kendall").filter("x = 'c_nationkey' and y = 'band'"), "corr")
 
 
+@register(
+    "corr_kendall_whole",
+    """WITH p AS (SELECT c_nationkey AS x, c_acctbal::DOUBLE AS y, count(*) AS n FROM customer GROUP BY ALL)
+    SELECT 'c_nationkey' AS x, 'c_acctbal' AS y, round(sum(sign((a.x - b.x) * (a.y - b.y)) * a.n * b.n) / sqrt((sum(a.n * b.n) FILTER (a.x <> b.x))::DOUBLE * (sum(a.n * b.n) FILTER (a.y <> b.y))::DOUBLE), 6) AS corr FROM p a, p b""",
+)
+def corr_kendall_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(aggregating.corr(table(spark, sf_dir, "customer"), ["c_nationkey", "c_acctbal"], "kendall").filter("x = 'c_nationkey' and y = 'c_acctbal'"), "corr")
+
+
 @register("cov_matrix", f"WITH {EVENTS} SELECT 'v' AS x, 'user_id' AS y, round(covar_samp(v, user_id), 6) AS cov FROM e UNION ALL SELECT 'user_id', 'v', round(covar_samp(v, user_id), 6) FROM e UNION ALL SELECT 'v', 'v', round(var_samp(v), 6) FROM e UNION ALL SELECT 'user_id', 'user_id', round(var_samp(user_id), 6) FROM e")
 def cov_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(aggregating.cov(events(spark, sf_dir), ["v", "user_id"]), "cov")

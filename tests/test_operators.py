@@ -294,3 +294,19 @@ def test_group_sample_and_selection(spark):
     assert selecting.sample(df, 10, weights="id", seed=1).count() == 10 and selecting.sample(df, 150, replace=True).count() == 150
     assert selecting.equals(df, df) and not selecting.equals(df, df.limit(5)) and selecting.dropna_columns(df.withColumn("n", F.lit(None))).columns == ["id", "g"]
     assert selecting.at(df, "id", 7, "g") == 1 and selecting.iat(df, 5, "g", ["id"]) == 2
+
+
+def test_kendall_of_many_points(spark):
+    """More distinct points than can be compared one by one, with ties, a hot value and repeated points."""
+    rng = np.random.default_rng(6)
+    x = np.where(rng.random(24_000) < 0.3, 5.0, rng.normal(0, 9, 24_000))
+    y = np.where(rng.random(24_000) < 0.1, 1.0, 0.3 * x + rng.normal(0, 9, 24_000))
+    x, y = np.concatenate((x, x[:2000])), np.concatenate((y, y[:2000]))
+    s = dx = dy = 0
+    for k in range(len(x)):
+        a, b = np.sign(x - x[k]), np.sign(y - y[k])
+        s, dx, dy = s + (a * b).sum(), dx + (a != 0).sum(), dy + (b != 0).sum()
+    points = spark.createDataFrame(pd.DataFrame({"a": x, "b": y, "one": 1.0}))
+    got = {(r.x, r.y): r["corr"] for r in aggregating.corr(points, ["a", "b", "one"], "kendall").collect()}
+    assert got[("a", "b")] == got[("b", "a")] == pytest.approx(s / np.sqrt(float(dx) * float(dy)), abs=1e-12)
+    assert got[("a", "a")] == 1 and got[("a", "one")] is None
