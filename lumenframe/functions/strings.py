@@ -69,7 +69,7 @@ def match(c: Column, pattern: str) -> Column:
 
 
 def fullmatch(c: Column, pattern: str) -> Column:
-    return c.rlike(f"^(?:{pattern})$")
+    return c.rlike(rf"\A(?:{pattern})\z")
 
 
 def find(c: Column, sub: str) -> Column:

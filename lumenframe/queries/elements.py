@@ -112,6 +112,13 @@ def str_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", T.lower(t).alias("lower"), T.upper(t).alias("upper"), T.capitalize(t).alias("capitalize"), T.length(t).cast("bigint").alias("len"), T.slice_(t, None, None, -1).alias("reversed"))
 
 
+#: Without SQL: DuckDB has no upper case of ß. tests/test_operators.py holds it against Python.
+@register("str_case_whole")
+def str_case_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", T.lower(t).alias("lower"), T.upper(t).alias("upper"), T.capitalize(t).alias("capitalize"), T.length(t).cast("bigint").alias("len"), T.slice_(t, None, None, -1).alias("reversed"))
+
+
 @register("str_title_swapcase", "SELECT p_partkey, list_aggregate([upper(w[1]) || lower(w[2:]) FOR w IN string_split(p_name, ' ')], 'string_agg', ' ') AS title, upper(p_name) AS swapped FROM part")
 def str_title_swapcase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", T.title(F.col("p_name")).alias("title"), T.swapcase(F.col("p_name")).alias("swapped"))
@@ -129,6 +136,12 @@ def str_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("str_fullmatch_whole", "SELECT doc_id, regexp_full_match(text, '[A-Za-z ]+') AS letters, regexp_full_match(text, '[^0-9]+') AS no_digit FROM documents")
+def str_fullmatch_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", T.fullmatch(t, "[A-Za-z ]+").alias("letters"), T.fullmatch(t, "[^0-9]+").alias("no_digit"))
+
+
 @register("str_rfind_get", "SELECT p_partkey, length(p_name) - strpos(reverse(p_name), 'e') - (strpos(reverse(p_name), 'e') = 0)::INT * (length(p_name) + 1) AS rfind, nullif(p_name[3], '') AS third, p_name[-2] AS last_but_one FROM part")
 def str_rfind_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_name")

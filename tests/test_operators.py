@@ -310,3 +310,24 @@ def test_kendall_of_many_points(spark):
     got = {(r.x, r.y): r["corr"] for r in aggregating.corr(points, ["a", "b", "one"], "kendall").collect()}
     assert got[("a", "b")] == got[("b", "a")] == pytest.approx(s / np.sqrt(float(dx) * float(dy)), abs=1e-12)
     assert got[("a", "a")] == 1 and got[("a", "one")] is None
+
+
+def test_text_functions_take_whole_texts(spark, sf):
+    from lumenframe import catalog
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = catalog.QUERIES["str_case_whole"](spark, sf).collect()
+    assert len(got) == len(texts) and any(not t.isascii() for t in texts.values()) and max(map(len, texts.values())) > 60
+    for r in got:
+        t = texts[r.doc_id]
+        assert (r.lower, r.upper, r.capitalize, r.len, r.reversed) == (t.lower(), t.upper(), t[:1].upper() + t[1:].lower(), len(t), t[::-1])
+    odd = spark.createDataFrame([("abc defghi",), ("abcdefgh9",), ("abc\n",), ("",)], "t string")
+    assert [r[0] for r in odd.select(strings.fullmatch(F.col("t"), "[A-Za-z ]+")).collect()] == [True, False, False, False]
+
+
+def test_whole_lists_are_exploded(spark, sf):
+    from lumenframe import catalog
+
+    lists = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    want = sorted((r.vec_id, float(x)) for r in lists for x in r.embedding)
+    assert sorted(tuple(r) for r in catalog.QUERIES["explode_list_whole"](spark, sf).collect()) == want
