@@ -28,6 +28,12 @@ def explode_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshaping.explode(e, "x").withColumn("x", F.col("x").cast("double"))
 
 
+@register("explode_list_whole", "SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings")
+def explode_list_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("x"))
+    return reshaping.explode(e, "x").withColumn("x", F.col("x").cast("double"))
+
+
 @register("melt", "SELECT p_partkey, 'p_brand' AS variable, p_brand AS value FROM part UNION ALL SELECT p_partkey, 'p_type', p_type FROM part")
 def melt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshaping.melt(table(spark, sf_dir, "part"), "p_partkey", ["p_brand", "p_type"])
