@@ -8,13 +8,22 @@ lists of links, and so are short blocks next to chosen ones. An article element
 one that holds chosen blocks keeps its other blocks too, lists of links among them. Headings stay with the block they stand
 over, and so does the last h1 before the text; those of a header outside articles only where that block is no heading itself,
 so that the text has no other title.
-What its tag or its class says is no article (menus, notices, comments, forms ...) never takes part.
+
+Before that, elements are set aside that their tag or a word of their class or id says to be no article (menus, notices,
+comments, forms ...). Such a sign is not believed where the page's text speaks against it: a form, a header or a player comes
+back if it holds most of the unlinked text that is left, what a class names if it holds nearly all, and any of them, comments
+and hidden elements excepted, if the page's h1, article or main element is in it with a good part of the text.
+
+Time and memory are linear in the page: elements are numbers with a parent each, paths are interned, sums run over the numbers
+backwards and signs forwards, and nothing is searched for twice.
 """
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,18 +34,31 @@ from pyspark.sql import functions as F
 from lumenframe.llm.runtime import small_batches
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math textarea title xmp object canvas".split())
+#: What these hold is no markup; it ends at their end tag or with the page.
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Tags whose text is part of the block around them.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mrow ms msqrt mstyle msub msup mtext q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-DROPPED_TAGS = frozenset("nav footer aside form head button select option fieldset dialog menu noframes audio video".split())
-DROPPED_ROLES = frozenset("navigation banner complementary contentinfo search dialog alertdialog alert form menu menubar toolbar".split())
-#: Words of a class or id that say what an element is for.
-DROPPED_WORDS = frozenset(
-    "nav navbar navigation menu submenu sidebar side footer foot masthead topbar ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored "
-    "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login comment comments disqus reply replies "
-    "respond share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager toolbar widget copyright disclaimer skip hidden".split()
+#: How far an element is set aside: by the amount of its text, by a name, by a stronger sign, for good; a header that only its place says to be the site's.
+MASTHEAD, AMOUNT, NAMED, STRONG, GONE = 1, 2, 3, 4, 5
+TAGS = (
+    dict.fromkeys("form fieldset object canvas audio video".split(), AMOUNT)
+    | dict.fromkeys("nav footer aside dialog menu noscript template".split(), STRONG)
+    | dict.fromkeys("head button select option datalist svg".split(), GONE)
 )
+ROLES = dict.fromkeys("navigation banner complementary contentinfo search dialog alertdialog alert menu menubar toolbar".split(), STRONG) | {"form": AMOUNT}
+#: Words of a class or id that say what an element is for.
+COMMENTS = frozenset("comment comments commentlist disqus feedback guestbook reply replies respond response responses talkback".split())
+WORDS = (
+    dict.fromkeys(
+        "nav navbar navigation menu submenu sidebar sidenav footer foot masthead topbar banner notice notices notification notifications alert popup modal overlay signup login share sharing social "
+        "related recommended recommendations breadcrumb breadcrumbs pagination pager toolbar widget widgets copyright disclaimer skip".split(), NAMED
+    )
+    | dict.fromkeys("ad ads adsense advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr newsletter subscribe subscription".split(), STRONG)
+    | dict.fromkeys(COMMENTS, GONE) | {"hidden": GONE}
+)
+#: A name that begins or ends so says what the element has not, or has among others.
+NOT_FIRST, NOT_LAST = frozenset("has is no non not show with without".split()), frozenset("closed disabled enabled free none off on open".split())
 #: A header is one of the site, and set aside, unless it is in an article or its class or id has one of these.
 ARTICLE_WORDS = frozenset("article post entry story content main title".split())
 #: A start tag that ends an open element of these.
@@ -44,144 +66,214 @@ CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"),
 }
 SCOPES = frozenset("table ul ol dl html body article section div main td th nav aside footer header form".split())
+#: Start tags that end an svg that is still open.
+BREAKOUT = frozenset("article aside blockquote body center div dl dt dd footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table ul".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
+NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: Standard deviation of the smoothing, in blocks; share of the greatest fused ratio that a path must reach; share of the chosen text that the root holds.
 SIGMA, THRESHOLD, ROOT_SHARE = 1.0, 0.5, 0.9
+#: An element comes back that holds so many times the unlinked text outside what is set aside; and where it holds a mark of the article.
+BACK = {MASTHEAD: 1.0, AMOUNT: 1.0, NAMED: 4.0}
+MARKED = 0.5
+
 
+def named(value: str) -> tuple[int, set[str]]:
+    """How far the names of a class or id set an element aside, and the words in them."""
+    aside, words = 0, set()
+    for name in value.split():
+        parts = [w.lower() for w in NAME.findall(name)]
+        words.update(parts)
+        if parts and parts[0] not in NOT_FIRST and parts[-1] not in NOT_LAST:
+            aside = max(aside, *(WORDS.get(w, 0) for w in (parts[0], parts[-1], "".join(parts))))
+    return aside, words
 
-def _boilerplate(tag: str, attributes: str, inside_article: bool) -> tuple[int, str]:
-    """Whether the element is set aside (2, or 1 for a header that nothing but its place says to be the site's), and its step in a path."""
-    if tag in DROPPED_TAGS:
-        return 2, tag
-    names = ""
+
+def _boilerplate(tag: str, attributes: str, inside_article: bool) -> tuple[int, str, str]:
+    """How far the element is set aside, its step in a path, and its role."""
+    aside, names, role = TAGS.get(tag, 0), "", ""
     site = tag == "header" and not inside_article
     if attributes and tag not in ("html", "body"):
         for key, *values in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), next((v for v in values if v), "")
             if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-                return 2, tag
-            if key == "role" and value.lower() in DROPPED_ROLES:
-                return 2, tag
-            if key in ("class", "id"):
-                words = {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", value)}
-                if words & DROPPED_WORDS and tag not in ("article", "main"):
-                    return 2, tag
+                aside = GONE
+            elif key == "role":
+                role = value.lower()
+                aside = max(aside, ROLES.get(role, 0))
+            elif key in ("class", "id"):
+                found, words = named(value)
+                if tag not in ("main", "article") or found == GONE and words & COMMENTS:
+                    aside = max(aside, found)
                 if "header" in words and not inside_article and not words & ARTICLE_WORDS and tag not in HEADINGS:
-                    return 2, tag
+                    aside = max(aside, NAMED)
                 site = site and not words & ARTICLE_WORDS
                 if key == "class":
                     names = "." + ".".join(sorted(value.split()))
-    return int(site), tag + names
+    return aside or (MASTHEAD if site else 0), tag + names, role
 
 
-class Block:
-    """Text of one block: its path, the elements (numbers) it lies in, how much of it is in links, and whether a header by itself holds it."""
+class Page:
+    """Elements of a page as parallel lists, and its text blocks in page order; element 0 is the page itself."""
 
-    __slots__ = ("path", "inside", "tag", "text", "linked", "masthead")
+    def __init__(self, page: str):
+        self.parent, self.tag, self.path, self.aside = [-1], [""], [0], [0]
+        self.marks: list[int] = []  # elements that stand for the article: h1, article, main
+        self.articles: list[int] = []
+        self.whole = {0}  # html and body
+        self.at: list[int] = []  # element of each block
+        self.text: list[str] = []
+        self.linked: list[int] = []
+        self._read(page)
 
-    def __init__(self, path: str, inside: tuple[int, ...], tag: str, text: str, linked: int, masthead: bool = False):
-        self.path, self.inside, self.tag, self.text, self.linked, self.masthead = path, inside, tag, text, linked, masthead
+    def _read(self, page: str) -> None:
+        stack = [0]
+        homes = [0]  # number of open article and main elements up to each level of the stack
+        scopes = [0]
+        paths: dict[tuple[int, str], int] = {}
+        opened: Counter = Counter()  # open elements by tag
+        scoped: Counter = Counter()  # open elements by (innermost scope, tag)
+        parts: list[str] = []
+        linked = 0
+        link = quiet = -1  # depth of the stack where an open link, a hidden inline element began
+        quiet_tag, quiet_deep = "", 0
+        svg: list[int] = []
+        at, end = 0, len(page)
 
+        def flush() -> None:
+            nonlocal linked
+            text = " ".join("".join(parts).split())
+            parts.clear()
+            if text:
+                self.at.append(stack[-1])
+                self.text.append(text)
+                self.linked.append(min(linked, len(text)))
+            linked = 0
 
-def blocks(page: str) -> tuple[list[Block], set[int], set[int]]:
-    """All text blocks that may be content, in page order, and the numbers of article elements and of html and body.
+        def close(k: int) -> None:
+            nonlocal link, quiet
+            flush()
+            while len(stack) > k:
+                e = stack.pop()
+                homes.pop()
+                tag = self.tag[e]
+                if tag in SCOPES:
+                    scopes.pop()
+                opened[tag] -= 1
+                scoped[scopes[-1], tag] -= 1
+                if svg and svg[-1] == len(stack):
+                    svg.pop()
+            link = -1 if len(stack) < link else link
+            quiet = -1 if len(stack) < quiet else quiet
 
-    Of a header that may be the site's only headings are there, marked as masthead.
-    """
-    stack: list[tuple[str, int, int, str]] = []  # tag, number, set aside, path
-    out: list[Block] = []
-    articles: set[int] = set()
-    mains: set[int] = set()
-    whole: set[int] = set()
-    parts: list[str] = []
-    linked = links = number = 0
-    at, end = 0, len(page)
-
-    def flush() -> None:
-        nonlocal linked
-        text = " ".join("".join(parts).split())
-        parts.clear()
-        if text and stack and (not stack[-1][2] or stack[-1][2] == 1 and stack[-1][0] in HEADINGS):
-            out.append(Block(stack[-1][3], tuple(x[1] for x in stack), stack[-1][0], text, linked, stack[-1][2] == 1))
-        elif text and not stack:
-            out.append(Block("", (), "", text, linked))
-        linked = 0
-
-    def close(k: int) -> None:
-        flush()
-        del stack[k:]
-
-    while at < end:
-        m = TOKEN.search(page, at)
-        if (m.start() if m else end) > at:
-            piece = html.unescape(page[at : m.start() if m else end])
-            parts.append(piece)
-            if links:
-                linked += len(piece)
-        if not m:
-            break
-        at = m.end()
-        if not m[2]:
-            continue
-        tag, shut = m[2].lower(), bool(m[1])
-        if m[0][-1] != ">":
-            continue
-        if tag in INLINE:
-            if tag == "a":
-                links = 0 if shut else 1
-            elif not shut and m[3] and not m[3].rstrip().endswith("/") and _boilerplate(tag, m[3], True)[0]:
-                past = re.compile(rf"<(/?){tag}\b[^>]*>", re.I)
-                depth, k = 1, at
-                while depth and (x := past.search(page, k)):
-                    depth += -1 if x[1] else 1
-                    k = x.end()
-                at = k if not depth else at
-            continue
-        if tag == "br" or tag == "wbr":
-            parts.append(" " if tag == "br" else "")
-            continue
-        if tag in VOID:
-            if tag == "hr":
-                flush()
-            continue
-        if tag in RAW:
-            if not shut and not m[3].endswith("/"):
-                x = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = x.end() if x else end
-            continue
-        links = 0
-        if shut:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-            else:
+        while at < end:
+            m = TOKEN.search(page, at)
+            upto = m.start() if m else end
+            if upto > at and quiet < 0:
+                piece = html.unescape(page[at:upto])
+                parts.append(piece)
+                if link >= 0:
+                    linked += len(piece)
+            if not m:
+                break
+            at = m.end()
+            if not m[2] or m[0][-1] != ">":
+                continue
+            tag, shut, given = m[2].lower(), bool(m[1]), m[3]
+            if tag in INLINE:
+                if quiet >= 0:
+                    if tag == quiet_tag:
+                        quiet_deep += -1 if shut else 1
+                        quiet = quiet if quiet_deep else -1
+                elif tag == "a":
+                    link = -1 if shut else len(stack)
+                elif not shut and given and not given.rstrip().endswith("/") and _boilerplate(tag, given, True)[0]:
+                    quiet, quiet_tag, quiet_deep = len(stack), tag, 1
+                continue
+            if tag in VOID:
+                if tag == "br":
+                    parts.append(" ")
+                elif tag == "hr":
+                    flush()
+                continue
+            if tag in RAW:
+                if not shut and not (svg and given.endswith("/")):
+                    x = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                    at = x.end() if x else end
+                continue
+            if shut:
                 flush()
-            continue
-        flush()
-        if stack and stack[-1][0] in ("p", *HEADINGS) and tag not in HEADINGS or stack and stack[-1][0] == "p":
-            close(len(stack) - 1)
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in CLOSES.get(tag, ()):
+                if opened[tag] > 0:
+                    close(next(k for k in range(len(stack) - 1, -1, -1) if self.tag[stack[k]] == tag))
+                continue
+            if svg and tag in BREAKOUT and not opened["foreignobject"]:
+                close(svg[0])
+            flush()
+            top = self.tag[stack[-1]]
+            if top in ("p", "head") or top in HEADINGS and tag not in HEADINGS:
+                close(len(stack) - 1)
+            ends = CLOSES.get(tag, ())
+            while any(scoped[scopes[-1], t] > 0 for t in ends):
+                k = next(k for k in range(len(stack) - 1, -1, -1) if self.tag[stack[k]] in ends)
                 close(k)
-            elif stack[k][0] in SCOPES:
-                break
-        number += 1
-        aside, step = _boilerplate(tag, m[3], any(x[1] in articles or x[1] in mains for x in stack))
-        above = stack[-1] if stack else ("", 0, 0, "")
-        role = re.search(r"role\s*=\s*[\"']?(main|article)\b", m[3] or "")
-        if tag == "article" or role and role[1] == "article":
-            articles.add(number)
-        elif tag == "main" or role:
-            mains.add(number)
-        elif tag in ("html", "body"):
-            whole.add(number)
-        if not m[3].endswith("/"):
-            stack.append((tag, number, max(above[2], aside), f"{above[3]}/{step}"))
-    flush()
-    return out, articles, whole
+            number, above = len(self.parent), stack[-1]
+            aside, step, role = _boilerplate(tag, given, homes[-1] > 0)
+            home = tag in ("article", "main") or role in ("article", "main")
+            self.parent.append(above)
+            self.tag.append(tag)
+            self.path.append(paths.setdefault((self.path[above], step), len(paths) + 1))
+            self.aside.append(aside)
+            if home and not aside or tag == "h1":
+                self.marks.append(number)
+            if home and "main" not in (tag, role):
+                self.articles.append(number)
+            if tag in ("html", "body"):
+                self.whole.add(number)
+            if not given.endswith("/"):
+                scoped[scopes[-1], tag] += 1
+                opened[tag] += 1
+                if tag == "svg":
+                    svg.append(len(stack))
+                stack.append(number)
+                homes.append(homes[-1] + (home and not aside))
+                if tag in SCOPES:
+                    scopes.append(number)
+        flush()
+
+    def settle(self) -> list[int]:
+        """For each element the nearest one above it, itself included, that stays set aside, or 0; signs that the text speaks against are taken back."""
+        n = len(self.parent)
+        owner, above = [0] * n, [0] * n
+        for e in range(1, n):
+            above[e] = owner[self.parent[e]]
+            owner[e] = e if self.aside[e] else above[e]
+        held = [0] * n  # unlinked text by nearest element set aside; of what is not, at 0
+        for e, text, linked in zip(self.at, self.text, self.linked):
+            held[owner[e]] += len(text) - linked
+        marked = [0] * n
+        for e in self.marks:
+            marked[e] = 1
+        for e in range(n - 1, 0, -1):
+            marked[self.parent[e]] |= marked[e]
+        heap = [(-held[e], e) for e in range(1, n) if self.aside[e] and self.aside[e] != GONE and held[e]]
+        heapq.heapify(heap)
+        while heap:
+            size, e = heapq.heappop(heap)
+            kind = self.aside[e]
+            if -size != held[e] or not kind:
+                continue
+            over = above[e]
+            while over and not self.aside[over]:
+                over = above[e] = above[over]
+            if held[e] > BACK.get(kind, np.inf) * held[0] or marked[e] and kind != MASTHEAD and held[e] > MARKED * held[0]:
+                self.aside[e] = 0
+                held[over] += held[e]
+                if over and self.aside[over] != GONE:
+                    heapq.heappush(heap, (-held[over], over))
+        for e in range(1, n):
+            owner[e] = e if self.aside[e] else owner[self.parent[e]]
+        return owner
 
 
 def _smooth(values: np.ndarray) -> np.ndarray:
@@ -197,40 +289,52 @@ def main_text(page: str | None) -> str:
     """
     if not page:
         return ""
-    every, articles, whole = blocks(page)
-    found = [b for b in every if not b.masthead]
+    tree = Page(page)
+    owner = tree.settle()
+    parent, tag = tree.parent, tree.tag
+    every = [k for k, e in enumerate(tree.at) if not owner[e] or tree.aside[owner[e]] == MASTHEAD and tag[e] in HEADINGS]
+    found = [k for k in every if not owner[tree.at[k]]]
     if not found:
         return ""
-    paths = {p: k for k, p in enumerate(dict.fromkeys(b.path for b in found))}
-    of = np.array([paths[b.path] for b in found])
-    size = np.array([max(0, len(b.text) - b.linked) for b in found], float)
-    marks = np.array([len(PUNCTUATION.findall(b.text)) for b in found], float)
+    masthead = set(every).difference(found)
+    at, text, linked = tree.at, tree.text, tree.linked
+    _, of = np.unique(np.array([tree.path[at[k]] for k in found]), return_inverse=True)
+    size = np.array([len(text[k]) - linked[k] for k in found], float)
+    marks = np.array([len(PUNCTUATION.findall(text[k])) for k in found], float)
     nodes = np.bincount(of)
     length, punctuation = np.bincount(of, size) / nodes, np.bincount(of, marks) / nodes
     fused = np.log1p(_smooth(length[of])) * np.log1p(1 + _smooth(punctuation[of]))
     by_path = np.bincount(of, fused) / nodes
-    chosen = by_path >= THRESHOLD * float(by_path.max())
-    picked = [b for b in found if chosen[paths[b.path]]]
-    total = sum(len(b.text) for b in picked)
-    weight: dict[int, int] = {}
-    for b in picked:
-        for e in b.inside[:-1]:
-            weight[e] = weight.get(e, 0) + len(b.text)
-    root = max((e for e, w in weight.items() if w >= ROOT_SHARE * total), default=0)
-    held = articles.intersection(e for b in picked for e in b.inside)
-    homes = {b.inside[-2] if len(b.inside) > 1 else 0 for b in picked} | {root}
-    kept = set()
-    for b in found:
-        inside = not root or root in b.inside
-        part = root not in whole and root in b.inside or b.tag in HEADINGS or homes.intersection(b.inside[-2:])
-        if chosen[paths[b.path]] or held.intersection(b.inside) or (inside and part and b.linked <= 0.5 * len(b.text)):
-            kept.add(b)
-    start = next((k for k, b in enumerate(every) if b in kept), 0)
-    kept.update([b for b in every[:start] if b.tag == "h1" and not b.masthead][-1:])
-    for b, after in zip(every[-2::-1], every[:0:-1]):
-        if b.tag in HEADINGS and after in kept and not (b.masthead and after.tag in HEADINGS):
-            kept.add(b)
-    return "\n\n".join(b.text for b in every if b in kept)
+    chosen = (by_path >= THRESHOLD * float(by_path.max()))[of].tolist()
+    picked = [k for k, yes in zip(found, chosen) if yes]
+    total = sum(len(text[k]) for k in picked)
+    weight, some = [0] * len(parent), [False] * len(parent)
+    for k in picked:
+        weight[max(parent[at[k]], 0)] += len(text[k])
+        some[at[k]] = True
+    for e in range(len(parent) - 1, 0, -1):
+        weight[parent[e]] += weight[e]
+        some[parent[e]] |= some[e]
+    root = max(e for e, w in enumerate(weight) if w >= ROOT_SHARE * total)
+    homes = {max(parent[at[k]], 0) for k in picked} | {root}
+    held, inside = [False] * len(parent), [root == 0] + [False] * (len(parent) - 1)
+    for e in tree.articles:
+        held[e] = some[e]
+    for e in range(1, len(parent)):
+        held[e] |= held[parent[e]]
+        inside[e] = e == root or inside[parent[e]]
+    kept = set(picked)
+    for k in found:
+        e = at[k]
+        part = inside[e] and root not in tree.whole or tag[e] in HEADINGS or e in homes or parent[e] in homes
+        if held[e] or inside[e] and part and linked[k] <= 0.5 * len(text[k]):
+            kept.add(k)
+    start = next((i for i, k in enumerate(every) if k in kept), 0)
+    kept.update([k for k in every[:start] if tag[at[k]] == "h1" and k not in masthead][-1:])
+    for k, after in zip(every[-2::-1], every[:0:-1]):
+        if tag[at[k]] in HEADINGS and after in kept and not (k in masthead and tag[at[after]] in HEADINGS):
+            kept.add(k)
+    return "\n\n".join(text[k] for k in every if k in kept)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

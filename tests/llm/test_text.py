@@ -156,6 +156,45 @@ def test_articles_do_not_replace_the_paths():
     assert html.main_text(f"<body><article>{story}{refs}</article></body>").split("\n\n") == ["A story of rain", *[LONG] * 4, "A source of this, and more of it", "Another source"]
 
 
+STORY = f"<h1>A story of rain</h1><p>{LONG}</p><p>{LONG}</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<form id="aspnetForm"><nav><a href=/>Home</a></nav>{}<div class=footer>All rights, and more.</div></form>',
+        '<div id="content" class="page no-sidebar">{}</div>',
+        '<div class="left-side">{}</div>',
+        '<div class="sidebar-wrap"><form>{}</form></div>',
+        "<article><svg><path d=x>{}</article>",
+        "<article>{}<section class=reader-responses><p>I liked it, truly, a lot, and more.</p></section><div id=feedback><p>Me too, and him, and her.</p></div></article>",
+        "<div>{}<section class=comments><article><h1>Hi</h1>" + f"<p>{LONG} {LONG} {LONG}</p>" * 3 + "</article></section></div>",
+        '<article>{}<span hidden>unseen, and not closed <b>x</b></article><div class="cookie-notice"><p>We set cookies, as all do.</p></div>',
+        "<canvas>{}</canvas>",
+    ],
+)
+def test_signs_that_the_text_speaks_against(page):
+    """A form around the page, a name that only denies, an svg that is never closed do not lose the article; comments and notices stay out."""
+    assert html.main_text("<body>" + page.format(STORY) + "</body>").split("\n\n") == ["A story of rain", LONG, LONG]
+
+
+def test_formulas_and_links_of_an_article_stay():
+    page = f"<article>{STORY}<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds, it does.</p><p><a href=/x>Read the full report of it</a> now</p></article>"
+    assert html.main_text(page).split("\n\n")[3:] == ["So x=2 holds, it does.", "Read the full report of it now"]
+
+
+@pytest.mark.parametrize("part", ["<div>", "<span hidden>x", '<p><span class="hidden">x</p>', "<form>", "</x>", "<dt><ul><foo>", "<svg>", "<!--", "<a b='"])
+def test_hostile_pages_take_linear_time(part):
+    import time
+
+    taken = []
+    for n in (25_000, 100_000):
+        began = time.process_time()
+        html.main_text(part * n + f"<p>{LONG}</p>")
+        taken.append(time.process_time() - began)
+    assert taken[1] < 10 * taken[0] + 1
+
+
 @pytest.mark.parametrize(("page", "text"), [(None, ""), ("", ""), ("plain words, no markup.", "plain words, no markup."), ("<p>a<p>b &lt;c&gt;", "a\n\nb <c>"), ("<script>x</script>", ""), ("<p>cut off <a hre", "cut off"), ("<!-- <p>no</p> --><p>yes</p>", "yes")])
 def test_odd_pages(page, text):
     assert html.main_text(page) == text
