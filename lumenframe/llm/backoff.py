@@ -1,12 +1,15 @@
 """Stupid-backoff scores: n-gram count tables partitioned by hash, joined to the n-grams of the documents, summed per document.
 
-Documents are dealt into blocks by hash, compressed, so that a text costs the shuffle some third of its bytes. A block's
-distinct n-grams of all orders, sorted by a 64-bit hash, are cut at fixed
-hash bounds into buckets; a block sends each bucket one row that holds its hashes and counts in packed form (some six bytes
-for an n-gram, a tenth of a row's cost). A bucket adds up the counts of all blocks, which is the count table's part there,
-and answers each block with the totals in the order of its hashes. The block meets the answers in a co-grouped join and
-scores its documents. An n-gram costs a bucket at most one entry for each block, however many rows hold it, so no word and
-no phrase is hot. All counts cover the whole corpus.
+The relations are columnar, for a row of its own costs an n-gram three times its bytes: one row holds the sorted hashes and
+counts of a slice, a range of hashes, in packed form (some six bytes for an n-gram). Documents are dealt into blocks by hash,
+compressed. A block's distinct n-grams of all orders are its exploded side, one row for each slice; a slice adds up its rows,
+which is the count table's part there, and gives each row the totals of its n-grams; joined back to their block they score
+its documents. All counts cover the whole corpus.
+
+Rows stay long at any size. A corpus that needs more than FAN slices gets them in levels: a block knows FAN slices only, FAN
+blocks at a time meet in a slice, are added up there, and go on as one to the FAN slices inside it; totals come back the same
+way. So rows are at most FAN for a block and level, in proportion to the input, and the levels follow its logarithm. An
+n-gram costs each row at most one entry, however many texts hold it, so no word and no phrase is hot.
 """
 
 from __future__ import annotations
@@ -28,8 +31,12 @@ BACKOFF = 0.4
 BLOCK_BYTES = 12 << 20
 #: Bytes of text that a task gathers before it deals them to the blocks.
 DEAL_BYTES = 32 << 20
-#: N-grams of all blocks that a bucket should have, about.
-BUCKET_GRAMS = 1_000_000
+#: N-grams of all blocks that a slice should have, about.
+SLICE_GRAMS = 1_000_000
+#: Slices that one row's sender knows, at most.
+FAN = 512
+#: Partitions of a stage at most; each has one group or more.
+MOST_TASKS = 50_000
 _SEEDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -154,73 +161,49 @@ def gathered(table: pa.Table) -> tuple[pa.Array, pa.Array]:
     return ids, pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(at.tobytes()), pa.py_buffer(texts))
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, factor: float = BACKOFF, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, factor: float = BACKOFF, block_bytes: int = BLOCK_BYTES, slice_grams: int = SLICE_GRAMS, most: int = FAN) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score, n_full) of each row: the sum and mean of log S over its words, and how
     many words found their whole n-gram in other texts.
 
     S is the stupid-backoff score: the share of the context's occurrences that go on with the word, else `factor` times the
     score with a shorter context, at last the word's share of all words. The text's own occurrences are not counted. A null,
-    empty or wordless text has 0 words, sum 0 and a null mean; repeated rows are two texts that see each other.
+    empty or wordless text has 0 words, sum 0 and a null mean; repeated rows are two texts that see each other. Only the id
+    and the text are read, so other columns clash with nothing. N-grams are known by 63-bit digests: of 10^12 different ones
+    some 5 x 10^4 pairs share a count.
+
+    The input must give the same rows whenever it is read, as tables and checkpoints do; where a block's n-grams differ between
+    two reads the job ends with an error instead of wrong counts.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size, words = rows.agg(F.sum(F.octet_length("text").cast("bigint")), F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint"))).first()
     blocks = max(1, -(-(size or 0) // block_bytes))
-    buckets = max(1, order * (words or 0) // BUCKET_GRAMS)
-    bound = [int(k * 2**64 // buckets) for k in range(1, buckets)]
+    levels, fan = fanned(order * (words or 0) // slice_grams, most)
     kind = docs.schema[id_col].dataType.simpleString()
-    dealt = dealt_rows(rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(blocks))))
+    block = F.pmod(F.xxhash64("doc_id", F.xxhash64("text"), F.spark_partition_id()), F.lit(blocks))
+    dealt = dealt_rows(rows.withColumn("block", block)).repartition(min(blocks, MOST_TASKS), "block")
 
     def ask(table: pa.Table) -> pa.Table:
-        number = table.column("block")[0].as_py()
         every, _, _ = grams(gathered(table)[1], order)
-        out = {"bucket": [], "block": [], "n": [], "data": []}
+        out = Rows()
         for n, h in enumerate(every):
             kinds, count = np.unique(h[n:], return_counts=True)
             if len(kinds) and kinds[0] == 0:
                 kinds, count = kinds[1:], count[1:]
-            cut = np.concatenate(([0], np.searchsorted(kinds, np.array(bound, np.uint64)), [len(kinds)]))
-            for b in np.flatnonzero(np.diff(cut)):
-                out["bucket"].append(int(b))
-                out["block"].append(number)
-                out["n"].append(n)
-                out["data"].append(pack(kinds[cut[b] : cut[b + 1]], count[cut[b] : cut[b + 1]]))
-        return pa.table({"bucket": pa.array(out["bucket"], pa.int64()), "block": pa.array(out["block"], pa.int64()), "n": pa.array(out["n"], pa.int32()), "data": pa.array(out["data"], pa.binary())})
-
-    def add(table: pa.Table) -> pa.Table:
-        order_ = table.column("n").to_pylist()
-        given = [unpack(x) for x in table.column("data").to_pylist()]
-        answers: list[bytes] = [b""] * len(given)
-        for n in set(order_):
-            mine = [k for k, x in enumerate(order_) if x == n]
-            hashes = np.concatenate([given[k][0] for k in mine])
-            _, back = np.unique(hashes, return_inverse=True)
-            sums = np.bincount(back, np.concatenate([given[k][1] for k in mine]).astype(np.float64)).astype(np.int64)[back]
-            at = 0
-            for k in mine:
-                m = len(given[k][0])
-                plain = pack_counts(sums[at : at + m])
-                answers[k] = np.array([m, len(plain)], np.int64).tobytes() + pa.compress(plain, "zstd", asbytes=True)
-                at += m
-        return pa.table({"block": table.column("block"), "n": table.column("n"), "bucket": table.column("bucket"), "data": pa.array(answers, pa.binary())})
+            out.cut(kinds, count, 0, fan, fan, table.column("block")[0].as_py(), n)
+        return out.table()
 
     def tell(texts: pa.Table, answers: pa.Table) -> pa.Table:
         ids, body = gathered(texts)
         rows = len(ids)
         every, of, place = grams(body, order)
-        told: dict[int, list[tuple[int, bytes]]] = {}
-        for n, b, data in zip(*(answers.column(c).to_pylist() for c in ("n", "bucket", "data"))):
-            told.setdefault(n, []).append((b, data))
+        told = in_order(answers, order)
         total, own = [], []
         for n, h in enumerate(every):
             kinds, rank = np.unique(h, return_inverse=True)
-            parts = [np.zeros(int(len(kinds) > 0 and kinds[0] == 0), np.int64)]
-            for _, data in sorted(told.get(n, [])):
-                m, plain = (int(x) for x in np.frombuffer(data, np.int64, 2))
-                parts.append(unpack_counts(pa.decompress(data[16:], plain, "zstd", asbytes=True), m))
-            counts = np.concatenate(parts)
+            counts = np.concatenate([np.zeros(int(len(kinds) > 0 and kinds[0] == 0), np.int64), *map(unpack_answer, told[n])])
             if len(counts) != len(kinds):
-                raise RuntimeError("a block's rows changed between two reads of the documents")
+                raise RuntimeError("a block's rows changed between two reads of the documents: the input gives other rows each time it is read; checkpoint it")
             total.append(counts[rank])
             own.append(_own(of, rank, len(kinds)))
         lengths = np.bincount(of, minlength=rows)
@@ -230,7 +213,135 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         mean = pa.array(sums / np.maximum(lengths, 1), mask=lengths == 0)
         return pa.table({"doc_id": ids, "n_words": lengths, "log_score": sums, "mean_log_score": mean, "n_full": full})
 
-    asked = dealt.groupBy("block").applyInArrow(ask, "bucket bigint, block bigint, n int, data binary")
-    answers = asked.groupBy("bucket").applyInArrow(add, "block bigint, n int, bucket bigint, data binary")
+    asked = dealt.groupBy("block").applyInArrow(ask, ROWS)
+    answers = counted(asked, order, fan, levels, blocks).withColumnRenamed("source", "block").repartition(min(blocks, MOST_TASKS), "block")
     schema = f"doc_id {kind}, n_words bigint, log_score double, mean_log_score double, n_full bigint"
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tell, schema)
+
+
+ROWS = "slice bigint, source bigint, n int, data binary"
+
+
+def fanned(slices: int, most: int = FAN) -> tuple[int, int]:
+    """Levels and slices a level so that all levels together give at least `slices`, none more than `most`."""
+    levels = 1
+    while most**levels < slices:
+        levels += 1
+    fan = max(1, round(slices ** (1 / levels)))
+    return levels, fan if fan**levels >= slices else fan + 1
+
+
+class Rows:
+    """Rows of the count relations, as they are gathered."""
+
+    def __init__(self) -> None:
+        self.slice, self.source, self.n, self.data = [], [], [], []
+
+    def put(self, number: int, source: int, n: int, data: bytes) -> None:
+        self.slice.append(number)
+        self.source.append(source)
+        self.n.append(n)
+        self.data.append(data)
+
+    def cut(self, kinds: np.ndarray, count: np.ndarray, first: int, parts: int, of: int, source: int, n: int) -> None:
+        """One row for each of `parts` slices from `first` on, of `of` in all, that has some of the sorted hashes."""
+        bound = np.array([k * 2**64 // of for k in range(first + 1, first + parts)], np.uint64)
+        at = np.concatenate(([0], np.searchsorted(kinds, bound), [len(kinds)]))
+        for k in np.flatnonzero(np.diff(at)):
+            self.put(first + int(k), source, n, pack(kinds[at[k] : at[k + 1]], count[at[k] : at[k + 1]]))
+
+    def table(self) -> pa.Table:
+        return pa.table({"slice": pa.array(self.slice, pa.int64()), "source": pa.array(self.source, pa.int64()), "n": pa.array(self.n, pa.int32()), "data": pa.array(self.data, pa.binary())})
+
+
+def pack_answer(counts: np.ndarray) -> bytes:
+    plain = pack_counts(counts)
+    return np.array([len(counts), len(plain)], np.int64).tobytes() + pa.compress(plain, "zstd", asbytes=True)
+
+
+def unpack_answer(data: bytes) -> np.ndarray:
+    n, size = (int(x) for x in np.frombuffer(data, np.int64, 2))
+    return unpack_counts(pa.decompress(data[16:], size, "zstd", asbytes=True), n)
+
+
+def in_order(answers: pa.Table, order: int) -> list[list[bytes]]:
+    """The answers of each n by slice."""
+    told: list[list[tuple[int, bytes]]] = [[] for _ in range(order)]
+    for s, n, data in zip(*(answers.column(c).to_pylist() for c in ("slice", "n", "data"))):
+        told[n].append((s, data))
+    return [[data for _, data in sorted(x)] for x in told]
+
+
+def merged(table: pa.Table, order: int) -> list[tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]]:
+    """For each n the distinct hashes of the rows, their summed counts, and (row, place of each of its hashes among them)."""
+    number = table.column("n").to_pylist()
+    given = table.column("data").to_pylist()
+    out = []
+    for n in range(order):
+        mine = [k for k, x in enumerate(number) if x == n]
+        parts = [unpack(given[k]) for k in mine]
+        hashes = np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in parts)])
+        kinds, back = np.unique(hashes, return_inverse=True)
+        sums = np.bincount(back, np.concatenate([np.zeros(0), *(c for _, c in parts)]), minlength=len(kinds)).astype(np.int64)
+        ends = np.cumsum([len(h) for h, _ in parts]).tolist()
+        out.append((kinds, sums, [(k, back[e - len(h) : e]) for k, e, (h, _) in zip(mine, ends, parts)]))
+    return out
+
+
+def counted(asked: DataFrame, order: int, fan: int, levels: int, sources: int, level: int = 1) -> DataFrame:
+    """ROWS that answer the rows of `asked`, whose data are the total counts in the order of the hashes."""
+
+    def answer(table: pa.Table) -> pa.Table:
+        out = Rows()
+        place = list(zip(table.column("slice").to_pylist(), table.column("source").to_pylist()))
+        for n, (_, sums, back) in enumerate(merged(table, order)):
+            for k, at in back:
+                out.put(*place[k], n, pack_answer(sums[at]))
+        return out.table()
+
+    def onward(table: pa.Table) -> pa.Table:
+        out = Rows()
+        number, source = table.column("slice")[0].as_py(), table.column("source")[0].as_py() // fan
+        for n, (kinds, sums, _) in enumerate(merged(table, order)):
+            out.cut(kinds, sums, number * fan, fan, fan ** (level + 1), source, n)
+        return out.table()
+
+    def back(table: pa.Table, answers: pa.Table) -> pa.Table:
+        out = Rows()
+        place = list(zip(table.column("slice").to_pylist(), table.column("source").to_pylist()))
+        told = in_order(answers, order)
+        for n, (_, _, rows) in enumerate(merged(table, order)):
+            total = np.concatenate([np.zeros(0, np.int64), *map(unpack_answer, told[n])])
+            for k, at in rows:
+                out.put(*place[k], n, pack_answer(total[at]))
+        return out.table()
+
+    if level == levels:
+        return asked.repartition(min(fan**levels, MOST_TASKS), "slice").groupBy("slice").applyInArrow(answer, ROWS)
+    groups = -(-sources // fan)
+    tasks = min(fan**level * groups, MOST_TASKS)
+    parted = asked.withColumn("group", F.expr(f"source div {fan}")).repartition(tasks, "slice", "group")
+    told = counted(parted.groupBy("slice", "group").applyInArrow(onward, ROWS), order, fan, levels, groups, level + 1)
+    above = told.withColumn("parent", F.expr(f"slice div {fan}")).repartition(tasks, "parent", "source")
+    return parted.groupBy("slice", "group").cogroup(above.groupBy("parent", "source")).applyInArrow(back, ROWS)
+
+
+#: DuckDB SQL of score() over documents, its sums rounded to four digits.
+ORACLE = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+total AS (SELECT sum(len(w)) AS n FROM d),
+p AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+t AS (SELECT r, i, len(w) AS n, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a FROM p),
+k AS (
+  SELECT r, i, n,
+    count(*) OVER (PARTITION BY c) - count(*) OVER (PARTITION BY r, c) AS one,
+    count(*) OVER (PARTITION BY i > 1, b, c) - count(*) OVER (PARTITION BY r, i > 1, b, c) AS two,
+    count(*) OVER (PARTITION BY i > 2, a, b, c) - count(*) OVER (PARTITION BY r, i > 2, a, b, c) AS three
+  FROM t),
+x AS (SELECT *, lag(one) OVER (PARTITION BY r ORDER BY i) AS before_one, lag(two) OVER (PARTITION BY r ORDER BY i) AS before_two FROM k),
+s1 AS (SELECT x.*, ln(greatest(one, 0.5) / greatest(total.n - x.n, 1)) AS s FROM x, total),
+s2 AS (SELECT r, i, three, before_two, CASE WHEN i = 1 THEN s WHEN two > 0 THEN ln(two / greatest(before_one, 1)) ELSE ln(0.4) + s END AS s FROM s1),
+s3 AS (SELECT r, CASE WHEN i <= 2 THEN s WHEN three > 0 THEN ln(three / greatest(before_two, 1)) ELSE ln(0.4) + s END AS s, i > 2 AND three > 0 AS whole FROM s2),
+e AS (SELECT r, sum(s) AS s, sum(whole::BIGINT)::BIGINT AS whole FROM s3 GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(s, 0), 4) AS log_score, round(s / len(w), 4) AS mean_log_score, coalesce(whole, 0)::BIGINT AS n_full FROM d LEFT JOIN e USING (r)
+"""

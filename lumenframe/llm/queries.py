@@ -21,7 +21,8 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff.score(_table(spark, sf_dir))
+    found = backoff.score(_table(spark, sf_dir))
+    return found.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 4).alias("mean_log_score"), "n_full")
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op10_merkle_fingerprints": op10_merkle_fingerprints,
 }
 ORACLE: dict[str, str] = {
+    "op2_lm_scoring": backoff.ORACLE,
     "op6_source_mixing": mixing.ORACLE,
     "op8_exact_dedup": exact.ORACLE,
 }

@@ -48,11 +48,12 @@ def brute_scores(texts: list[str], order: int = 3) -> list[tuple[int, float, int
     return out
 
 
-@pytest.mark.parametrize("block", [400, 1 << 20])
-def test_scores(docs, rows, block):
+@pytest.mark.parametrize("sizes", [{}, {"block_bytes": 4000}, {"block_bytes": 4000, "slice_grams": 3000, "most": 3}])
+def test_scores(wide, rows, sizes):
+    """In one block and slice, in many, and with the slices in several levels; columns with the names used inside clash with nothing."""
     texts = [r[1] for r in rows]
     want = Counter((r[0], *s) for r, s in zip(rows, brute_scores(texts), strict=True))
-    got = Counter((r.doc_id, r.n_words, round(r.log_score, 6), r.n_full) for r in backoff.score(docs, block_bytes=block).collect())
+    got = Counter((r.doc_id, r.n_words, round(r.log_score, 6), r.n_full) for r in backoff.score(wide, **sizes).collect())
     close = lambda c: Counter((i, n, round(s, 3), f) for (i, n, s, f), k in c.items() for _ in range(k))
     assert close(got) == close(want)
 
@@ -62,6 +63,22 @@ def test_scores_edges(empty, all_null):
     assert [(r.n_words, r.log_score, r.mean_log_score) for r in backoff.score(all_null).collect()] == [(0, 0.0, None)] * 2
 
 
+def test_scores_of_the_tables_agree_with_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    got = queries.op2_lm_scoring(spark, sf)
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(f"SELECT {', '.join(got.columns)} FROM ({backoff.ORACLE})").fetchall())
+
+
+def test_levels():
+    assert [backoff.fanned(n, 512) for n in (0, 1, 400, 513, 24_000)] == [(1, 1), (1, 1), (1, 400), (2, 23), (2, 155)]
+    for n in range(1, 3000, 7):
+        levels, fan = backoff.fanned(n, 8)
+        assert fan**levels >= n and fan <= 9
+
+
 def test_packing():
     rng = np.random.default_rng(2)
     h = np.unique(rng.integers(0, 2**64, 1000, np.uint64))
