@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm import spans
-from lumenframe.llm.runtime import small_batches
+from lumenframe.llm.runtime import FAN, MOST_TASKS, fanned, small_batches
 
 ORDER = 3
 BACKOFF = 0.4
@@ -33,10 +33,6 @@ BLOCK_BYTES = 12 << 20
 DEAL_BYTES = 32 << 20
 #: N-grams of all blocks that a slice should have, about.
 SLICE_GRAMS = 1_000_000
-#: Slices that one row's sender knows, at most.
-FAN = 512
-#: Partitions of a stage at most; each has one group or more.
-MOST_TASKS = 50_000
 _SEEDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -222,15 +218,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
 ROWS = "slice bigint, source bigint, n int, data binary"
 
 
-def fanned(slices: int, most: int = FAN) -> tuple[int, int]:
-    """Levels and slices a level so that all levels together give at least `slices`, none more than `most`."""
-    levels = 1
-    while most**levels < slices:
-        levels += 1
-    fan = max(1, round(slices ** (1 / levels)))
-    return levels, fan if fan**levels >= slices else fan + 1
-
-
 class Rows:
     """Rows of the count relations, as they are gathered."""
 

@@ -6,6 +6,10 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Parts (slices, buckets) that one sender of packed rows knows, at most; more are reached in levels.
+FAN = 512
+#: Partitions of a stage at most; each has one group or more.
+MOST_TASKS = 50_000
 #: Rows of an Arrow batch handed to Python: with texts of some kB a batch stays at a few MB.
 BATCH_ROWS = 1000
 
@@ -29,3 +33,12 @@ def fresh(columns: list[str], wish: str) -> str:
     while wish.lower() in low:
         wish = "_" + wish
     return wish
+
+
+def fanned(parts: int, most: int = FAN) -> tuple[int, int]:
+    """Levels, and parts at each, so that all levels together give at least `parts`; none has many more than `most`."""
+    levels = 1
+    while most**levels < parts:
+        levels += 1
+    fan = max(1, round(parts ** (1 / levels)))
+    return levels, fan if fan**levels >= parts else fan + 1

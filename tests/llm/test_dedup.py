@@ -173,7 +173,12 @@ def line_docs() -> list[tuple]:
     return [(i, "\n".join(out[i * 4 : i * 4 + 4])) for i in range(65)] + [(900, None), (901, ""), (902, " \n\t"), (903, out[0]), (903, out[0])]
 
 
-def test_duplicate_lines(spark):
+@pytest.mark.parametrize("sizes", [{}, {"tile": 3}, {"bucket_entries": 100, "fan_most": 4, "tile": 10}])
+def test_duplicate_lines(spark, monkeypatch, sizes):
+    """By pairs, by tiles of segments that many share, and with the buckets in several levels."""
+    import functools
+
+    monkeypatch.setattr(lines, "links", functools.partial(lines.links, **sizes))
     rows = line_docs()
     texts = [(i, k, x) for i, t in rows for k, x in solid_lines(t)]
     links = brute_links([x for _, _, x in texts])
@@ -208,6 +213,48 @@ def test_lines_deduplicated(spark, wide, empty, all_null):
     assert lines.deduplicated(wide).columns == wide.columns
 
 
+def test_lines_of_repeated_ids(spark):
+    """Texts of one doc_id are numbered each by itself; rows repeated whole lose the same lines."""
+    rows = [(1, "a first long line\na shared long line"), (1, "a shared long line\nan own long line"), (None, "x y z\nx y z"), (None, "x y z\nx y z"), (2, "an own long line\na last one of them")]
+    out = sorted((r.doc_id or 0, r.text) for r in lines.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert out[:2] == [(0, "x y z")] * 2 and out[4] == (2, "a last one of them")
+    assert out[2:4] in ([(1, "a first long line"), (1, "a shared long line\nan own long line")], [(1, "a first long line\na shared long line"), (1, "an own long line")])
+
+
+def test_query_on_the_tables(spark, sf):
+    """All pairs of the given lines, compared one by one where their lengths and character counts allow a link."""
+    texts = [(r.doc_id, k, x) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() for k, x in solid_lines(r.text)]
+    every = sorted({x for _, _, x in texts}, key=len)
+    count = [Counter(x) for x in every]
+    linked: Counter = Counter()
+    for i, a in enumerate(every):
+        for j in range(i):
+            if len(a) - len(every[j]) <= 2 and (count[i] - count[j]).total() <= 2 and edit_distance(a, every[j]) <= min(2, len(a) // 5):
+                linked[a] += 1
+                linked[every[j]] += 1
+    got = queries.op1_line_dedup(spark, sf).collect()
+    assert Counter((r.doc_id, r.line_no, r.n_links) for r in got) == Counter((i, k, linked[x]) for i, k, x in texts)
+
+
+def test_ten_thousand_lines_of_one_segment(spark):
+    """Every line shares two segments with every other; they are compared in tiles, and only links leave a task."""
+    rng = np.random.default_rng(4)
+    names = [f"{x:09x}" for x in rng.integers(0, 16**9, 10_000)]
+    names[-1] = names[0][:4] + "z" + names[0][5:]
+    text = "\n".join(f"{n} is the number of an entry in the long ledger of the house" for n in names)
+    got = {(r.a, r.b) for r in lines.links(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()}
+    ids = {n: xxhash.xxh64_intdigest(f"{n} is the number of an entry in the long ledger of the house".encode(), 42) for n in names}
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    at: defaultdict[tuple, list] = defaultdict(list)
+    want = set()
+    for n in set(names):
+        for k in range(9):
+            at[k, n[:k] + n[k + 1 :]].append(n)
+    for same in at.values():
+        want |= {tuple(sorted((signed(ids[a]), signed(ids[b])))) for a in same for b in same if a != b}
+    assert want <= got and tuple(sorted((signed(ids[names[0]]), signed(ids[names[-1]])))) in got
+
+
 def test_hot_line_group_stays_small(spark):
     """Lines that share a long part but differ in a word each are no candidates of one another."""
     rows = [(i, "x" * 60 + f" word{i * 7919:08d}{i * 104729:09d} " + "y" * 60) for i in range(150)]

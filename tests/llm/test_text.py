@@ -12,7 +12,7 @@ from hashlib import sha256
 import numpy as np
 import pytest
 
-from lumenframe.llm import backoff, bpe, html, langid, merkle, quality, queries
+from lumenframe.llm import backoff, bpe, html, langid, merkle, quality, queries, runtime
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -73,9 +73,9 @@ def test_scores_of_the_tables_agree_with_sql(spark, sf):
 
 
 def test_levels():
-    assert [backoff.fanned(n, 512) for n in (0, 1, 400, 513, 24_000)] == [(1, 1), (1, 1), (1, 400), (2, 23), (2, 155)]
+    assert [runtime.fanned(n, 512) for n in (0, 1, 400, 513, 24_000)] == [(1, 1), (1, 1), (1, 400), (2, 23), (2, 155)]
     for n in range(1, 3000, 7):
-        levels, fan = backoff.fanned(n, 8)
+        levels, fan = runtime.fanned(n, 8)
         assert fan**levels >= n and fan <= 9
 
 
