@@ -905,6 +905,8 @@ class Series:
     def __xor__(self, other: object) -> Series:
         return self._arith(E.logical_xor, other)
 
+    __rand__, __ror__, __rxor__ = __and__, __or__, __xor__
+
     def __divmod__(self, other: object) -> tuple[Series, Series]:
         return self._arith(E.floordiv, other), self._arith(E.mod, other)
 

@@ -227,6 +227,8 @@ def compare(a: DataFrame, b: DataFrame, index: str) -> DataFrame:
 
 def infer_types(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Text columns cast to the narrowest of bigint, double, boolean and timestamp that holds every value; one aggregate decides."""
+    if not columns:
+        return df
     kinds = ("bigint", "double", "boolean", "timestamp_ntz")
     bad = df.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(k).isNull()).alias(f"{i}_{k}") for i, c in enumerate(columns) for k in kinds]).first().asDict()
     out = df

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe import arrays as A
 from lumenframe.columnar import Table
 from lumenframe.frame import Frame, crosstab
-from lumenframe.queries.registry import EVENTS, events, r, register, rounded, table
+from lumenframe.queries.registry import EVENTS, events, folder, r, register, rounded, table
 from lumenframe.sources import readers, writers
 from lumenframe.streaming import windows as W
 
@@ -169,24 +167,16 @@ def vector_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Files
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that all executors see: beside the checkpoints of the session, or on this machine where it has none (tests)."""
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="files-") + "/t"
-
-
 @register("io_csv", "SELECT c_custkey::BIGINT AS c_custkey, c_name, c_acctbal FROM customer")
 def io_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark)
+    path = folder(spark)
     writers.to_csv(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), path)
     return readers.read_csv(spark, path, schema="c_custkey bigint, c_name string, c_acctbal double")
 
 
 @register("io_table_fwf", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def io_table_fwf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark)
+    path = folder(spark)
     n = table(spark, sf_dir, "nation")
     writers.to_text(n.select(F.concat(F.lpad(F.col("n_nationkey").cast("string"), 4, " "), F.rpad("n_name", 30, " "), F.lpad(F.col("n_regionkey").cast("string"), 3, " ")).alias("line")), path, "line")
     return readers.read_fwf(spark, path, widths=[4, 30, 3], schema="n_nationkey int, n_name string, n_regionkey int")
@@ -194,35 +184,35 @@ def io_table_fwf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("io_json", "SELECT event_id, event_type, value FROM events")
 def io_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark)
+    path = folder(spark)
     writers.to_json(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), path)
     return readers.read_json(spark, path, schema="event_id bigint, event_type string, value double")
 
 
 @register("io_orc", "SELECT p_partkey, p_name FROM part")
 def io_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark)
+    path = folder(spark)
     writers.to_orc(table(spark, sf_dir, "part"), path)
     return readers.read_orc(spark, path, ["p_partkey", "p_name"])
 
 
 @register("io_xml", "SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region")
 def io_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark)
+    path = folder(spark)
     writers.to_xml(table(spark, sf_dir, "region"), path)
     return readers.read_xml(spark, path, schema="r_regionkey bigint, r_name string")
 
 
 @register("io_parquet_partitioned", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'P'")
 def io_parquet_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark)
+    path = folder(spark)
     writers.to_parquet(table(spark, sf_dir, "orders"), path, ["o_orderstatus"])
     return readers.read_parquet(spark, path, ["o_orderkey", "o_orderstatus"], "o_orderstatus = 'P'")
 
 
 @register("io_custom_text", "SELECT event_id, event_type FROM events WHERE event_type <> 'error'")
 def io_custom_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark)
+    path = folder(spark)
     writers.to_text(table(spark, sf_dir, "events").select(F.concat_ws("|", F.col("event_id").cast("string"), "event_type").alias("line")), path, "line")
 
     def parse(line: str) -> dict | None:
@@ -262,5 +252,5 @@ def stream_running_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     name = f"running_{uuid.uuid4().hex}"
     stream = W.read_stream(spark, sf_dir, e.schema, only="events.parquet")
-    W.run_once(W.running(stream, "user_id", "value"), name, _folder(spark), "update")
+    W.run_once(W.running(stream, "user_id", "value"), name, folder(spark), "update")
     return rounded(spark.table(name).groupBy("user_id").agg(F.max("n").alias("n"), F.max_by("total", "n").alias("total")), "total", digits=2)

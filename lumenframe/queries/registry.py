@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,3 +48,9 @@ def r(c: Column | str, digits: int = 6) -> Column:
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: r(c, digits) for c in columns})
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder that all executors see: beside the checkpoints of the session, or on this machine where it has none (tests)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="files-") + "/t"
