@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -185,13 +187,18 @@ class Groups:
         return resample(self.df, rule, on, aggs, by=self.by, **options)
 
     def transform(self, how: str | Callable, columns: dict[str, str], schema: StructType | str | None = None) -> DataFrame:
-        """The group's aggregate beside each of its rows, or a Python function of the group's series."""
+        """The group's aggregate beside each of its rows, or a Python function of the group's series.
+
+        Aggregates are made with a partial step and joined back, so that a hot group is no task of its own.
+        """
         if callable(how):
             return self.apply(lambda pdf: pdf.assign(**{n: how(pdf[c]) for n, c in columns.items()}), schema or self.df.schema)
-        w = Window.partitionBy(*self.by)
-        value = {"nunique": lambda c: F.size(F.collect_set(c).over(w)), "sum": lambda c: F.coalesce(F.sum(c).over(w), F.lit(0)), "size": lambda c: F.count(F.lit(1)).over(w), "median": lambda c: F.percentile(c, F.lit(0.5)).over(w), "std": lambda c: F.stddev_samp(c).over(w), "var": lambda c: F.var_samp(c).over(w)}
-        made = {n: value[how](F.col(f"`{c}`")) if how in value else S.aggregate(how, F.col(f"`{c}`")).over(w) for n, c in columns.items()}
-        return self.df.withColumns(made)
+        value = {"nunique": F.count_distinct, "sum": lambda c: F.coalesce(F.sum(c), F.lit(0)), "size": lambda c: F.count(F.lit(1)), "median": lambda c: F.percentile(c, F.lit(0.5)), "std": F.stddev_samp, "var": F.var_samp}
+        made = [(value[how](F.col(f"`{c}`")) if how in value else S.aggregate(how, F.col(f"`{c}`"))).alias(f"__t{k}") for k, c in enumerate(columns.values())]
+        found = self.df.groupBy(*[F.col(f"`{c}`").alias(f"__g{i}") for i, c in enumerate(self.by)]).agg(*made)
+        same = reduce(operator.and_, [F.col(f"`{c}`").eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(self.by)])
+        joined = self.df.join(found, same, "left").withColumns({n: F.col(f"__t{k}") for k, n in enumerate(columns)})
+        return joined.drop(*[f"__g{i}" for i in range(len(self.by))], *[f"__t{k}" for k in range(len(columns))])
 
     def filter(self, test: Column | Callable[[pd.DataFrame], bool]) -> DataFrame:
         """Groups for which an aggregate condition holds; kept by a semi-join, so no group is gathered. A Python test gathers each."""

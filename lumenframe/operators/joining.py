@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenframe.plans.ordering import keys
+from lumenframe.plans.ordering import scan
 
 Names = str | Sequence[str]
 HOW = {"inner": "inner", "left": "left", "right": "right", "outer": "full", "full": "full", "semi": "left_semi", "anti": "left_anti", "cross": "cross"}
@@ -118,8 +118,7 @@ def merge_asof(
         tag = F.when(F.col("__side") == 0, 0 if allow_exact_matches else 2).otherwise(1)
         order = [F.col("__t").desc() if forward else F.col("__t").asc(), tag.asc()]
         if groups:
-            w = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-            return df.withColumn(name, F.last("__right", ignorenulls=True).over(w))
+            return scan(df, order, {name: ("last", F.col("__right"))}, groups)
         return _carry(df, name, order)
 
     if direction in ("backward", "nearest"):

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window, WindowSpec
 
 from lumenframe.functions import statistics as S
 from lumenframe.functions.dates import micros
-from lumenframe.plans.ordering import keys, scan, sliding
+from lumenframe.plans.ordering import hot, keys, placed, sampled_bounds, scan, sliding
 
 Order = Sequence[str | Column]
 
@@ -66,7 +66,8 @@ def rolling(
 
     Row frames: `window` rows that end at the row (or are centred on it), min_periods = window by default. Time frames need
     `on`, a timestamp that the order starts with; min_periods = 1; `closed` is right, left, both or neither. `step` keeps
-    every step-th row. Time frames without groups are dealt by day-sized blocks with the frame's reach as overlap.
+    every step-th row. Time frames over the whole table, or with hot groups, are dealt by sampled ranges of time that are no
+    shorter than the frame, with its reach as overlap.
     """
     if isinstance(window, str):
         return _rolling_time(df, window, aggs, by, 1 if min_periods is None else min_periods, closed or "right", on or next(c for c in order if isinstance(c, str)))
@@ -106,20 +107,25 @@ def _rolling_time(df: DataFrame, window: str, aggs: dict[str, tuple], by: Sequen
     reach = span_micros(window)
     low = -reach + (0 if closed in ("left", "both") else 1)
     high = -1 if closed in ("left", "neither") else 0
-    placed = df.withColumn("__us", micros(F.col(f"`{on}`")))
     groups = list(by)
-    if not groups:
-        block = max(reach, 86_400_000_000)
-        seats = F.array_distinct(F.array(F.floor(F.col("__us") / block), F.floor((F.col("__us") + reach) / block)))
-        placed = placed.withColumn("__home", F.floor(F.col("__us") / block)).withColumn("__block", F.explode(seats))
-        groups = ["__block"]
+    dealt = df.withColumn("__us", micros(F.col(f"`{on}`")))
+    apart = not groups or hot(df, groups)
+    if apart:
+        bounds = []
+        for x in sampled_bounds(dealt, F.col("__us").cast("double")).tolist():
+            if not bounds or x >= bounds[-1] + reach:
+                bounds.append(x)
+        edges = np.array(bounds)
+        home, last = (placed((F.col("__us") + k).cast("double"), edges) for k in (0, reach))
+        dealt = dealt.withColumn("__home", home).withColumn("__block", F.explode(F.sequence("__home", last)))
+        groups = [*groups, "__block"]
     w = Window.partitionBy(*groups).orderBy("__us").rangeBetween(low, high)
     made = {}
     for n, (name, c, *more) in aggs.items():
         extra = {"q": more[0]} if more and isinstance(more[0], float) else {"other": F.col(f"`{more[0]}`")} if more else {}
         made[n] = _over(name, F.col(f"`{c}`"), w, least, **extra)
-    out = placed.withColumns(made)
-    return out.drop("__us") if by else out.filter("__block = __home").drop("__us", "__home", "__block")
+    out = dealt.withColumns(made)
+    return out.filter("__block = __home").drop("__us", "__home", "__block") if apart else out.drop("__us")
 
 
 def expanding(df: DataFrame, order: Order, aggs: dict[str, tuple], by: Sequence[str] = (), min_periods: int = 1) -> DataFrame:
@@ -229,44 +235,103 @@ def rolling_apply(df: DataFrame, order: Order, window: int, column: str, func: C
     return sliding(df, order, {"__frame": lambda w: F.collect_list(F.col(f"`{column}`")).over(w.rowsBetween(-(window - 1), 0))}, window - 1, 0, by).withColumn(name, run("__frame")).drop("__frame")
 
 
-def _ewm_whole(df: DataFrame, order: Sequence[str], column: str, name: str, alpha: float) -> DataFrame:
-    """Weighted sums of values and of weights are linear recurrences: each range runs on from what the ranges before it add
-    up to, of which the driver sees two numbers for each range."""
+def _ewm_local(x: np.ndarray, alpha: float, adjust: bool) -> dict[str, np.ndarray]:
+    """What the rows of a range add to weighted sums: each is kept * (sum before) + own. Adjusted sums start with the range,
+    others are normalised at each value and start with the first value, whose own results are left to the carry."""
+    n, keep = len(x), 1 - alpha
+    names = ("kept", "s1", "s2", "w1", "w2")
+    out = {c: np.zeros(n) for c in names}
+    seen = np.zeros(n, bool)
+    if adjust:
+        has = ~np.isnan(x)
+        v = pd.DataFrame({"s1": np.where(has, x, 0.0), "s2": np.where(has, x * x, 0.0), "w1": has.astype(float)})
+        for c in v:
+            out[c] = v[c].ewm(alpha=alpha).sum().to_numpy()
+        out["w2"] = v["w1"].ewm(alpha=1 - keep * keep).sum().to_numpy()
+        out["kept"] = keep ** np.arange(1, n + 1)
+        return out | {"seen": np.ones(n, bool)}
+    p, a, b, d, f, on = 1.0, 0.0, 0.0, 0.0, 1.0, False
+    for i, y in enumerate(x.tolist()):
+        f *= keep
+        if y == y:
+            if on:
+                t = f + alpha
+                p, a, b, d = p * f / t, (f * a + alpha * y) / t, (f * b + alpha * y * y) / t, (f * f * d + alpha * alpha) / (t * t)
+            on, f = True, 1.0
+        seen[i] = on
+        out["kept"][i], out["s1"][i], out["s2"][i], out["w2"][i] = p, a, b, d
+    return out | {"seen": seen}
+
+
+def _ewm_whole(df: DataFrame, order: Sequence[str], column: str, name: str, alpha: float, adjust: bool, how: str, bias: bool) -> DataFrame:
+    """Weighted sums of values, squares and weights are linear recurrences: each range runs on from what the ranges before it
+    add up to, of which the driver sees a few numbers for each range."""
     from lumenframe.plans.ordering import checkpoint, ranged
 
+    keep = 1 - alpha
+    middle = float(df.agg(F.avg(F.col(f"`{column}`"))).first()[0] or 0.0) if how != "mean" else 0.0
     dealt = ranged(df, order)
-    schema = StructType([*dealt.schema.fields, *StructType.fromDDL("__num double, __den double, __k bigint").fields])
+    kinds = "__kept double, __s1 double, __s2 double, __w1 double, __w2 double, __seen boolean, __k bigint, __first double, __at bigint, __gap bigint"
+    schema = StructType([*dealt.schema.fields, *StructType.fromDDL(kinds).fields])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(list(order), kind="stable", na_position="last")
-        x = pdf[column].astype(float)
-        pdf["__num"] = x.fillna(0.0).ewm(alpha=alpha).sum()
-        pdf["__den"] = x.notna().astype(float).ewm(alpha=alpha).sum()
+        x = pdf[column].astype(float).to_numpy() - middle
+        for c, v in _ewm_local(x, alpha, adjust).items():
+            pdf[f"__{c}"] = v
+        has = np.flatnonzero(~np.isnan(x))
         pdf["__k"] = np.arange(1, len(pdf) + 1)
+        pdf["__first"], pdf["__at"], pdf["__gap"] = (x[has[0]], has[0] + 1, len(x) - 1 - has[-1]) if len(has) else (None, 0, len(x))
         return pdf
 
     local = checkpoint(dealt.groupBy("__range").applyInPandas(run, schema))
-    ends = local.groupBy("__range").agg(F.max_by("__num", "__k"), F.max_by("__den", "__k"), F.max("__k")).orderBy("__range").collect()
-    num = den = 0.0
-    carried = []
-    for part, a, b, n in ends:
-        carried.append((part, num, den))
-        num, den = num * (1 - alpha) ** n + a, den * (1 - alpha) ** n + b
-    into = df.sparkSession.createDataFrame(carried, "__range int, __cn double, __cd double")
-    fade = F.pow(F.lit(1 - alpha), F.col("__k"))
-    below = F.col("__den") + F.col("__cd") * fade
-    out = local.join(F.broadcast(into), "__range").withColumn(name, F.when(below > 0, (F.col("__num") + F.col("__cn") * fade) / below))
-    return out.drop("__range", "__num", "__den", "__k", "__cn", "__cd")
+    fields = ("__kept", "__s1", "__s2", "__w1", "__w2", "__first", "__at", "__gap")
+    ends = local.groupBy("__range").agg(*[F.max_by(c, "__k").alias(c) for c in fields], F.max("__k").alias("n")).orderBy("__range").collect()
+    none = (0.0, 0.0, 0.0, 0.0)
+    now, gap, carried = none, 0, []
+    for e in ends:
+        into, start = now, none
+        if adjust:
+            start, fade = into, e["__kept"]
+            now = tuple(f * s + x for f, s, x in zip((fade, fade, fade, fade * fade), into, (e["__s1"], e["__s2"], e["__w1"], e["__w2"])))
+        elif e["__first"] is None:
+            gap += e.n
+        else:
+            x, f = e["__first"], keep ** (gap + e["__at"])
+            t = f + alpha
+            start = (x, x * x, 1.0, 1.0) if not into[2] else ((f * into[0] + alpha * x) / t, (f * into[1] + alpha * x * x) / t, 1.0, (f * f * into[3] + alpha * alpha) / (t * t))
+            p = e["__kept"]
+            now, gap = (p * start[0] + e["__s1"], p * start[1] + e["__s2"], 1.0, p * p * start[3] + e["__w2"]), e["__gap"]
+        carried.append((e["__range"], *into, *start))
+    table = df.sparkSession.createDataFrame(carried, "__of int, " + ", ".join(f"__{x}{k} double" for x in "is" for k in range(4)))
+    p = F.col("__kept")
+    grown = lambda k, own, fade: F.when(F.col("__seen"), fade * F.col(f"__s_{k}") + own).otherwise(F.col(f"__i_{k}"))
+    table = table.withColumnsRenamed({f"__{x}{k}": f"__{x}_{k}" for x in "is" for k in range(4)})
+    joined = local.join(F.broadcast(table), F.col("__range") == F.col("__of"))
+    made = {"__t1": grown(0, F.col("__s1"), p), "__t2": grown(1, F.col("__s2"), p), "__tw": grown(2, F.col("__w1") if adjust else 1 - p, p), "__td": grown(3, F.col("__w2"), p * p)}
+    out = joined.withColumns(made)
+    w, d = F.col("__tw"), F.col("__td")
+    mean = F.col("__t1") / F.when(w > 0, w)
+    if how == "mean":
+        value = mean
+    else:
+        value = F.when(w > 0, F.greatest(F.lit(0.0), F.col("__t2") / F.when(w > 0, w) - mean * mean))
+        if not bias:
+            value = value * w * w / F.when(w * w - d > 1e-12 * w * w, w * w - d)
+        value = F.sqrt(value) if how == "std" else value
+    extra = [f.name for f in StructType.fromDDL(kinds).fields]
+    return out.withColumn(name, value).drop("__range", "__of", *extra, *made, *[f"__{x}_{k}" for x in "is" for k in range(4)])
 
 
 def ewm(df: DataFrame, order: Sequence[str], column: str, name: str, by: Sequence[str] = (), alpha: float | None = None, span: float | None = None, com: float | None = None, halflife: float | None = None, adjust: bool = True, how: str = "mean", bias: bool = False) -> DataFrame:
-    """Exponentially weighted mean, var or std inside groups, each of which is a task's unit; adjusted means over a whole table too."""
+    """Exponentially weighted mean, var or std: inside groups, each of which is a task's unit, or over a whole table by ranges.
+
+    Weights of a missing value's place count, as they do by default: a value k rows back weighs (1 - alpha)^k.
+    """
     if alpha is None:
         alpha = 2 / (span + 1) if span is not None else 1 / (1 + com) if com is not None else 1 - float(np.exp(-np.log(2) / halflife))
     if not by:
-        if how != "mean" or not adjust:
-            raise NotImplementedError("over a whole table there are adjusted means only; give groups")
-        return _ewm_whole(df, order, column, name, alpha)
+        return _ewm_whole(df, order, column, name, alpha, adjust, how, bias)
     schema = StructType([*df.schema.fields, StructField(name, DoubleType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -286,8 +351,10 @@ def cumulative(df: DataFrame, order: Order, columns: dict[str, tuple[str, str]],
 
 
 def cumcount(df: DataFrame, order: Order, by: Sequence[str], name: str = "cumcount", ascending: bool = True) -> DataFrame:
-    by_order = keys(order) if ascending else [F.col(c).desc() if isinstance(c, str) else c for c in order]
-    return df.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(*by_order)) - 1).cast("bigint"))
+    by_order = list(order) if ascending else [F.col(c).desc() if isinstance(c, str) else c for c in order]
+    if hot(df, by):
+        return scan(df, by_order, {name: ("count", F.lit(1))}, by).withColumn(name, (F.col(name) - 1).cast("bigint"))
+    return df.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(*keys(by_order))) - 1).cast("bigint"))
 
 
 def shift(df: DataFrame, order: Order, columns: dict[str, str], periods: int = 1, by: Sequence[str] = (), fill: object = None) -> DataFrame:
@@ -320,6 +387,8 @@ def rank(df: DataFrame, column: str, name: str = "rank", method: str = "average"
     if na_option == "top":
         by_value = c.asc_nulls_first() if ascending else c.desc_nulls_first()
     counted = c if na_option == "keep" else F.lit(1)
+    if by and not pct and hot(df, by):
+        return _rank_hot(df, column, name, method, by, by_value, order, na_option)
     if by:
         w = Window.partitionBy(*by).orderBy(by_value)
         ties = Window.partitionBy(*by, column)
@@ -355,6 +424,28 @@ def rank(df: DataFrame, column: str, name: str = "rank", method: str = "average"
     return df.join(table, c.eqNullSafe(F.col("__rv")), "left").drop("__rv")
 
 
+def _rank_hot(df: DataFrame, column: str, name: str, method: str, by: Sequence[str], by_value: Column, order: Order, na_option: str) -> DataFrame:
+    """Ranks inside groups of which one is hot: a running count of the rows, or of the distinct values and their rows, by ranges."""
+    c = F.col(f"`{column}`")
+    fine = c.isNotNull() if na_option == "keep" else F.lit(True)
+    if method == "first":
+        out = scan(df, [by_value, *order], {name: ("count", F.lit(1))}, by)
+        return out.withColumn(name, F.when(fine, F.col(name).cast("double")))
+    values = df.filter(fine).groupBy(*by, c.alias("__rv")).agg(F.count(F.lit(1)).alias("__n"))
+    v = F.col("__rv")
+    down = "DESC" in by_value._jc.toString()
+    last = "NULLS LAST" in by_value._jc.toString()
+    way = (v.desc_nulls_last() if last else v.desc_nulls_first()) if down else (v.asc_nulls_last() if last else v.asc_nulls_first())
+    run = scan(values, [way], {"__upto": ("sum", F.col("__n")), "__dense": ("count", F.lit(1))}, by)
+    high = F.col("__upto").cast("double")
+    value = {"max": high, "min": high - F.col("__n") + 1, "average": high - (F.col("__n") - 1) / 2, "dense": F.col("__dense").cast("double")}[method]
+    table = run.select(*[F.col(f"`{g}`").alias(f"__g{i}") for i, g in enumerate(by)], "__rv", value.alias(name))
+    same = c.eqNullSafe(v)
+    for i, g in enumerate(by):
+        same &= F.col(f"`{g}`").eqNullSafe(F.col(f"__g{i}"))
+    return df.join(table, same, "left").drop("__rv", *[f"__g{i}" for i in range(len(by))])
+
+
 def fill(df: DataFrame, order: Order, columns: Sequence[str], method: str = "ffill", limit: int | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Gaps filled from the last (ffill) or next (bfill) value, over at most `limit` rows."""
     if limit is None:

@@ -21,6 +21,8 @@ BLOCK_ROWS = 200_000
 #: Rows of a range, at least; ranges for each shuffle partition; sampled rows for each range.
 RANGE_ROWS, RANGES, SAMPLED = 200_000, 4, 20
 POSITION = "__pos"
+#: A table of so many bytes, by the plan's estimate, may have a group of more than HOT_ROWS rows, which is dealt into ranges.
+HOT_BYTES, HOT_ROWS = 1 << 30, 5_000_000
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -31,6 +33,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def hot(df: DataFrame, by: Sequence[str]) -> bool:
+    """Whether some group of `by` is too large for one task.
+
+    A table that is small by the plan's own estimate has none, and nothing is run to know it; else the groups are counted,
+    which reads the columns of `by` alone.
+    """
+    if not by or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= HOT_BYTES:
+        return False
+    most = df.groupBy(*[F.col(f"`{c}`") for c in by]).count().agg(F.max("count")).first()[0]
+    return (most or 0) > HOT_ROWS
+
+
 def keys(order: Sequence[str | Column]) -> list[Column]:
     """Ascending, missing values last; a Column is taken as it is."""
     return [F.col(f"`{c}`").asc_nulls_last() if isinstance(c, str) else c for c in order]
@@ -53,35 +67,44 @@ def _number(df: DataFrame, key: str | Column) -> Column | None:
     return F.unix_micros(c.cast("timestamp")).cast("double") if kind in ("timestamp", "timestamp_ntz", "date") else None
 
 
-def _sampled_ranges(df: DataFrame, number: Column) -> DataFrame:
-    """__range by bounds from a sample of the key, which the driver draws once, so that every reading agrees on them."""
+def sampled_bounds(df: DataFrame, number: Column) -> np.ndarray:
+    """Bounds of ranges of the key with like numbers of rows, from a sample that the driver draws once; a count and the sample run here."""
     spark = df.sparkSession
     total = df.count()
     n = max(1, min(RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")), total // RANGE_ROWS))
     if n == 1:
-        return df.withColumn("__range", F.lit(0))
+        return np.zeros(0)
     drawn = df.select(number.alias("k")).filter("k is not null")
-    values = np.sort(np.array([r[0] for r in drawn.sample(min(1.0, SAMPLED * n / total), 17).collect()]))
-    bounds = np.unique(values[np.linspace(0, len(values), n, endpoint=False).astype(int)[1:]]) if len(values) else values
+    values = np.sort(np.array([r[0] for r in drawn.sample(min(1.0, SAMPLED * n / total), 17).collect()], np.float64))
+    return values[np.linspace(0, len(values), n, endpoint=False).astype(int)[1:]] if len(values) else values
+
+
+def placed(number: Column, bounds: np.ndarray) -> Column:
+    """The number of the range that a key is in; a missing one is in the last."""
+    if not len(bounds):
+        return F.lit(0)
 
     @F.pandas_udf("int")  # type: ignore[call-overload]
     def place(k: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(bounds, k.fillna(np.inf).to_numpy(np.float64), side="right").astype(np.int32))
 
-    return df.withColumn("__range", place(number))
+    return place(number)
 
 
 def ranged(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
-    """`df` with __range, the number of the range of the order that a row is in; equal first keys share a range.
+    """`df` with __range, the number of the range of the order that a row is in.
 
-    Over a plain scan and a numeric or time key the bounds are drawn from a sample, and nothing is written: what is done with
-    the numbers reads the scan again, each time only the columns that it needs. Otherwise the rows are dealt by Spark's own
-    range partitioning, whose bounds differ from run to run, and checkpointed before a number is relied on; chains of such
-    operators then compute nothing twice.
+    Over a plain scan and a numeric or time key of many values the bounds are drawn from a sample of the first key, and nothing
+    is written: what is done with the numbers reads the scan again, each time only the columns that it needs. Otherwise, and
+    where one value of the first key has more than a range's rows, the rows are dealt by Spark's own range partitioning of the
+    whole key, whose bounds differ from run to run, and checkpointed before a number is relied on; chains of such operators
+    then compute nothing twice.
     """
     number = _number(df, order[0])
     if number is not None and _plain_scan(df):
-        return _sampled_ranges(df, number)
+        bounds = sampled_bounds(df, number)
+        if len(np.unique(bounds)) == len(bounds):
+            return df.withColumn("__range", placed(number, bounds))
     by = keys(order)
     return checkpoint(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__range", F.spark_partition_id()))
 
@@ -93,7 +116,11 @@ def _before(totals: DataFrame, what: dict[str, Callable[[Column], Column]]) -> D
 
 
 def positions(df: DataFrame, order: Sequence[str | Column], name: str = POSITION) -> DataFrame:
-    """`df` with the place of each row in the order, from 0 without gaps. Ties keep an arbitrary but fixed order."""
+    """`df` with the place of each row in the order, from 0 without gaps.
+
+    Tied rows come in any order, which may change where a plain scan is read again: an order that must hold needs a last key
+    that tells rows apart.
+    """
     dealt = ranged(df, order)
     before = _before(dealt.groupBy("__range").agg(F.count("*").alias("__before")), {"__before": F.sum})
     within = F.row_number().over(Window.partitionBy("__range").orderBy(*keys(order))) - 1
@@ -115,44 +142,52 @@ SCANS: dict[str, tuple[Callable, Callable, Callable]] = {
 def scan(df: DataFrame, order: Sequence[str | Column], columns: dict[str, tuple[str, Column]], by: Sequence[str] = ()) -> DataFrame:
     """`df` with running results: {name: (kind of SCANS, input)}; over each group of `by`, or over the whole table.
 
-    With groups this is a plain window. Without, each range runs on from the totals of the ranges before it.
+    With groups this is a plain window, unless a group is hot. Over the whole table, and with hot groups over ranges of the
+    groups and the order, each range runs on from the totals of the ranges before it.
     """
-    if by:
+    by = list(by)
+    if by and not hot(df, by):
         w = Window.partitionBy(*by).orderBy(*keys(order)).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({n: SCANS[k][0](c).over(w) for n, (k, c) in columns.items()})
     given = df.withColumns({f"__in_{n}": c for n, (_, c) in columns.items()})
-    dealt = ranged(given, order)
-    last = F.lit(None)
+    dealt = ranged(given, [*by, *order])
+    within = Window.partitionBy("__range", *by).orderBy(*keys(order))
     totals = []
+    if any(k == "last" for k, _ in columns.values()):
+        dealt = dealt.withColumn("__place", F.row_number().over(within))
     for n, (k, _) in columns.items():
         value = F.col(f"__in_{n}")
-        if k == "last":
-            value = F.max_by(value, F.struct(*[F.when(value.isNotNull(), F.col(f"`{c}`")) if isinstance(c, str) else last for c in order]))
-        else:
-            value = SCANS[k][0](value)
-        totals.append(value.alias(f"__b_{n}"))
-    before = _before(dealt.groupBy("__range").agg(*totals), {f"__b_{n}": SCANS[k][1] for n, (k, _) in columns.items()})
-    w = Window.partitionBy("__range").orderBy(*keys(order)).rowsBetween(Window.unboundedPreceding, 0)
-    run = dealt.withColumns({f"__r_{n}": SCANS[k][0](F.col(f"__in_{n}")).over(w) for n, (k, _) in columns.items()}).join(F.broadcast(before), "__range")
+        totals.append((F.max_by(value, F.when(value.isNotNull(), F.col("__place"))) if k == "last" else SCANS[k][0](value)).alias(f"__b_{n}"))
+    w = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    found = dealt.groupBy("__range", *by).agg(*totals)
+    before = found.select(F.col("__range").alias("__of"), *[F.col(f"`{c}`").alias(f"__g{i}") for i, c in enumerate(by)], F.count(F.lit(1)).over(w).alias("__earlier"), *[SCANS[k][1](F.col(f"__b_{n}")).over(w).alias(f"__b_{n}") for n, (k, _) in columns.items()])
+    same = F.col("__range") == F.col("__of")
+    for i, c in enumerate(by):
+        same &= F.col(f"`{c}`").eqNullSafe(F.col(f"__g{i}"))
+    run = dealt.withColumns({f"__r_{n}": SCANS[k][0](F.col(f"__in_{n}")).over(within.rowsBetween(Window.unboundedPreceding, 0)) for n, (k, _) in columns.items()})
+    # at most one group of a range began in an earlier one, so what is broadcast has no more rows than there are ranges
+    run = run.join(F.broadcast(before.filter("__earlier > 0").drop("__earlier")), same, "left")
     run = run.withColumns({n: SCANS[k][2](F.col(f"__b_{n}"), F.col(f"__r_{n}")) for n, (k, _) in columns.items()})
-    return run.drop("__range", *[f"__{x}_{n}" for n in columns for x in ("in", "b", "r")])
+    return run.drop("__range", "__of", "__place", *[f"__g{i}" for i in range(len(by))], *[f"__{x}_{n}" for n in columns for x in ("in", "b", "r")])
 
 
 def sliding(df: DataFrame, order: Sequence[str | Column], columns: dict[str, Callable[[Window], Column]], before: int = 0, after: int = 0, by: Sequence[str] = (), block: int = BLOCK_ROWS) -> DataFrame:
     """`df` with window expressions that look at most `before` rows back and `after` rows ahead.
 
     Each value of `columns` makes an expression out of an ordered window without a frame. With groups this is a plain
-    window. Without, rows are dealt into blocks by position; a row near an edge is a guest in the neighbouring block too.
+    window, unless a group is hot. Over the whole table, and with hot groups over the groups and the order, rows are dealt into
+    blocks by position; a row near an edge is a guest in the neighbouring block too.
     """
-    if by:
+    by = list(by)
+    if by and not hot(df, by):
         w = Window.partitionBy(*by).orderBy(*keys(order))
         return df.withColumns({n: f(w) for n, f in columns.items()})
     block = max(block, before + after + 1)
-    placed = positions(df, order)
+    placed = positions(df, [*by, *order])
     home = F.floor(F.col(POSITION) / block)
     ahead = F.floor((F.col(POSITION) + before) / block)
     behind = F.floor((F.col(POSITION) - after) / block)
     seats = F.array_distinct(F.array(home, ahead, F.greatest(behind, F.lit(0))))
     seated = placed.withColumn("__home", home).withColumn("__block", F.explode(seats))
-    w = Window.partitionBy("__block").orderBy(POSITION)
+    w = Window.partitionBy("__block", *by).orderBy(POSITION)
     return seated.withColumns({n: f(w) for n, f in columns.items()}).filter("__block = __home").drop("__block", "__home", POSITION)

@@ -335,3 +335,18 @@ def resample_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("resample_get_group", "SELECT event_id FROM events WHERE date_trunc('hour', ts) = TIMESTAMP '2024-01-02 03:00:00'")
 def resample_get_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.get_group(table(spark, sf_dir, "events"), "1h", "ts", "2024-01-02 03:00:00").select("event_id")
+
+
+@register(
+    "ewm_whole_table",
+    """WITH RECURSIVE n AS (SELECT event_id, value AS x, row_number() OVER (ORDER BY event_id) AS i FROM events),
+    w AS (SELECT event_id, i, x AS s, x * x AS s2, 1.0::DOUBLE AS w, 1.0::DOUBLE AS w2, x AS m FROM n WHERE i = 1
+    UNION ALL SELECT n.event_id, n.i, 0.7 * w.s + n.x, 0.7 * w.s2 + n.x * n.x, 0.7 * w.w + 1, 0.49 * w.w2 + 1, 0.7 * w.m + 0.3 * n.x FROM w JOIN n ON n.i = w.i + 1)
+    SELECT event_id, round(m, 5) AS plain, CASE WHEN i > 1 THEN round((s2 / w - (s / w) * (s / w)) * w * w / (w * w - w2), 1) END AS var FROM w""",
+)
+def ewm_whole_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights that are not adjusted, and the variance, over the whole table."""
+    e = table(spark, sf_dir, "events").select("event_id", "value")
+    plain = windowing.ewm(e, ["event_id"], "value", "plain", alpha=0.3, adjust=False).select("event_id", "plain")
+    var = windowing.ewm(e, ["event_id"], "value", "var", alpha=0.3, how="var").select("event_id", "var")
+    return rounded(rounded(plain.join(var, "event_id"), "plain", digits=5), "var", digits=1)
