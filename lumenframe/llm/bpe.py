@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from lumenframe.llm import spans
 from lumenframe.llm.runtime import small_batches
 
+#: Fixed value: the pattern whose matches the splitter finds; a test holds it against the tokenizer's own.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose tokens a worker remembers before it starts anew; a bound on its memory (some 80 MB).
 CACHED = 300_000
 #: A longer piece is merged with a heap, the others side by side in numpy.

@@ -19,7 +19,6 @@ ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
 #: Cells (four bytes each) of the matrix that is broadcast, at most: 64 MB.
 MATRIX_CELLS = 1 << 24
-LEAST_BUCKETS = 1 << 10
 SMOOTHING = 0.5
 UNKNOWN = "und"
 #: A prediction below this is a rejection in a filter.
@@ -53,7 +52,9 @@ def _grams(texts: list[str], buckets: int) -> Iterator[tuple[np.ndarray, np.ndar
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Counts over every whole text that has a label; what reaches the driver is at most languages x buckets sums.
+    """Counts over every whole text that has a label; what reaches the driver is the names of the languages and at most
+    languages x buckets sums. Any number of languages is learned, the more of them the fewer buckets: 65,536 up to 256
+    languages, 1024 at 16,384; with many more the n-grams tell little apart, and the names must fit the driver.
 
     Rows with a null text or label teach nothing. With no labelled row the model knows no language.
     """
@@ -62,10 +63,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     share = sorted(rows.groupBy("lang").count().collect())
     languages = tuple(r[0] for r in share)
     buckets = BUCKETS
-    while buckets * len(languages) > MATRIX_CELLS:
+    while buckets > 1 and buckets * len(languages) > MATRIX_CELLS:
         buckets //= 2
-    if buckets < LEAST_BUCKETS:
-        raise ValueError(f"{len(languages)} languages are too many for a matrix of {MATRIX_CELLS} cells")
     number = {x: k for k, x in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

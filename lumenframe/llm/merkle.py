@@ -9,6 +9,7 @@ are skipped and the differing pieces locate the edit.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -86,12 +87,24 @@ def trees(texts: list[str]) -> list[Tree]:
 def likeness(a: Tree, b: Tree) -> float:
     """Share of pieces that the two have in common (twice the common ones over all); 1 if and only if the roots are equal.
 
-    Pieces count as often as they occur. Different trees with the same pieces in another order come out just below 1. Two
+    It follows from the two fingerprints alone (see likeness_of): pieces are known by the 8 digits that these show. Pieces
+    count as often as they occur. Different trees with the same pieces in another order come out just below 1. Two
     empty texts are equal; an empty and another text have 0.
     """
     if a.root == b.root:
         return 1.0
-    ones, twos = Counter(x[0] for x in a.leaves()), Counter(x[0] for x in b.leaves())
+    return _share(Counter(x[0][:4] for x in a.leaves()), Counter(x[0][:4] for x in b.leaves()))
+
+
+def likeness_of(a: str, b: str) -> float:
+    """The likeness of two fingerprints, read from them."""
+    if a.split(" ", 1)[0] == b.split(" ", 1)[0]:
+        return 1.0
+    cut = lambda x: Counter(p[i : i + 8] for p in re.findall(r":([0-9a-f]*)", x) for i in range(0, len(p), 8))
+    return _share(cut(a), cut(b))
+
+
+def _share(ones: Counter, twos: Counter) -> float:
     total = ones.total() + twos.total()
     common = sum(min(n, twos[k]) for k, n in ones.items() if k in twos)
     return min(2 * common / total, math.nextafter(1.0, 0.0)) if total else 1.0

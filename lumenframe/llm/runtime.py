@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 FAN = 512
 #: Partitions of a stage at most; each has one group or more.
 MOST_TASKS = 50_000
-#: Rows of an Arrow batch handed to Python: with texts of some kB a batch stays at a few MB.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch handed to Python, at most; one row that is longer is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of a Python worker: batches of whole texts are kept small."""
+    """Bound the memory of a Python worker: batches of whole texts are kept small, for this session from now on, as plans are lazy."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from hashlib import sha256
 import numpy as np
 import pytest
 
-from lumenframe.llm import backoff, bpe, html, langid, merkle, quality, queries, runtime
+from lumenframe.llm import backoff, bpe, html, langid, merkle, quality, queries, runtime, spans
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -124,6 +124,58 @@ def test_expectation_maximisation_recovers_accuracies():
     assert np.abs(trust.rate[:, 1, 1] - 0.05).max() < 0.03 and np.abs(trust.rate[:, 0, 1] - 0.6).max() < 0.05
 
 
+def test_expectation_maximisation_against_brute_force():
+    """The same rounds one document and one labeller at a time."""
+    rng = np.random.default_rng(6)
+    k, rounds = len(quality.LABELLERS), 7
+    cast = rng.choice(3, (250, k), p=[0.5, 0.2, 0.3])
+    patterns, counts = np.unique(cast @ quality._POWERS, return_counts=True)
+    trust = quality.expectation_maximisation(patterns, counts.astype(float), rounds)
+    prior, rate = 0.8, np.maximum(quality.FIRST, 1e-4).tolist()
+
+    def posterior(row) -> float:
+        good, bad = prior, 1 - prior
+        for j, v in enumerate(row):
+            good *= rate[j][1][v]
+            bad *= rate[j][0][v]
+        return good / (good + bad)
+
+    for _ in range(rounds):
+        p = [posterior(row) for row in cast]
+        new = []
+        for j in range(k):
+            sides = []
+            for side in (0, 1):
+                said = [sum((x if side else 1 - x) for x, row in zip(p, cast) if row[j] == v) + quality.FIRST_WEIGHT * quality.FIRST[j, side, v] for v in range(3)]
+                sides.append([max(x / sum(said), 1e-4) for x in said])
+            new.append(sides)
+        prior, rate = min(0.95, max(0.05, (sum(p) + 8) / (len(p) + 10))), new
+    assert abs(trust.prior - prior) < 1e-9 and np.abs(trust.rate - np.array(rate)).max() < 1e-9
+    for row in cast[:50]:
+        assert abs(trust.posterior[int(row @ quality._POWERS)] - posterior(row)) < 1e-9
+
+
+def test_scorer_against_brute_force():
+    """A text's margin is the bias and the mean weight of its words and of its three-byte grams, one after another."""
+    texts = ["A few words words here", "ab", "", "straße und mehr, und mehr mehr", "x " * 40]
+    weights = np.random.default_rng(7).normal(size=quality.FEATURES + 1)
+    half = quality.FEATURES // 2
+
+    def margin(text: str) -> float:
+        value, raw = weights[-1], text.encode()
+        found = [w.encode() for w in WORD.findall(low(text))]
+        if found:
+            at = [int(spans.Rolling(np.frombuffer(w, np.uint8)).spans(np.array([0]), np.array([len(w)]))[0] % np.uint64(half)) for w in found]
+            at = [0 if i and found[i] == found[i - 1] else x for i, x in enumerate(at)]
+            value += quality.SCALE * sum(weights[x] for x in at) / len(at)
+        grams = [(((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 2654435761 % 2**32) >> 17) % half + half for i in range(len(raw) - 2)]
+        return value + (quality.SCALE * sum(weights[x] for x in grams) / len(grams) if grams else 0.0)
+
+    raw = "".join(texts).encode()
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)]).astype(np.int64)
+    assert np.allclose(quality._margins(np.frombuffer(raw, np.uint8), offsets, weights), [margin(t) for t in texts])
+
+
 # HTML
 
 
@@ -237,6 +289,49 @@ def test_language_held_out(spark, sf):
     assert sum(r.lang_pred == docs[r.doc_id] for r in held) / len(held) >= 0.95
 
 
+def test_language_against_brute_force(spark, sf):
+    """Counts, weights and posteriors of every document, made one n-gram at a time."""
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    held = {r.doc_id for r in queries.op7_language_id(spark, sf).filter("held_out").collect()}
+
+    def cells(text: str) -> Counter:
+        out: Counter = Counter()
+        code = [ord(c) for c in text.lower()]
+        for i in range(len(code)):
+            h = 0
+            for n in (1, 2, 3):
+                if i + n <= len(code):
+                    h = (h * 0x100000001B3 + code[i + n - 1] + n) % 2**64
+                    x = h * 0x9E3779B97F4A7C15 % 2**64
+                    out[((x ^ (x >> 32)) >> 16) & 0xFFFF] += 1
+        return out
+
+    grams = {i: cells(t or "") for i, t, _ in rows}
+    counts: dict[str, Counter] = {}
+    share: Counter = Counter()
+    for i, t, lang in rows:
+        if i not in held and t is not None and lang is not None:
+            counts.setdefault(lang, Counter()).update(grams[i])
+            share[lang] += 1
+    total = {x: c.total() + 0.5 * 65536 for x, c in counts.items()}
+    for r in queries.op7_language_id(spark, sf).collect():
+        g = grams[r.doc_id]
+        if r.lang_pred == "und":
+            continue
+        log = {x: (sum(n * math.log((c[k] + 0.5) / total[x]) for k, n in g.items()) + math.log(share[x] / share.total())) / math.sqrt(max(1, g.total())) for x, c in counts.items()}
+        top = max(log.values())
+        weight = {x: math.exp(v - top) for x, v in log.items()}
+        assert log[r.lang_pred] >= top - 1e-4 and abs(r.score - weight[r.lang_pred] / sum(weight.values())) < 1e-3
+
+
+def test_any_number_of_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MATRIX_CELLS", 1 << 8)
+    docs = spark.createDataFrame([(f"w{k} text", f"l{k:03d}") for k in range(300)], "text string, lang string")
+    model = langid.train(docs)
+    assert len(model.languages) == 300 and model.weights.shape == (1, 300)
+    assert langid.identify(docs.limit(3), model).count() == 3
+
+
 def test_language_edges(docs, wide, empty, all_null, rows):
     model = langid.train(docs)
     out = langid.identify(wide, model)
@@ -327,6 +422,8 @@ def test_likeness_orders_edits():
     a, b, c, d = merkle.trees([base, small, large, none])
     assert merkle.likeness(a, a) == 1.0 and 1 > merkle.likeness(a, b) > 0.5 and merkle.likeness(a, d) < 0.05
     assert merkle.likeness(a, b) == merkle.likeness(b, a) and a.root != b.root
+    every = [a, b, c, d]
+    assert all(merkle.likeness_of(x.fingerprint(), y.fingerprint()) == merkle.likeness(x, y) for x in every for y in every)
     (start, end) = merkle.edits(*merkle.trees([base, base[:200] + "Z" + base[200:]]))[0]
     assert start <= 200 < end
 
