@@ -111,12 +111,16 @@ def slice_(c: Column, start: int | None = None, stop: int | None = None, step: i
     if step in (None, 1):
         low, high = place(start or 0), n if stop is None else place(stop)
         return F.when(high > low, F.substr(c, low + 1, high - low)).otherwise(F.when(c.isNotNull(), F.lit("")))
+    if step == -1 and start is None and stop is None:
+        return F.reverse(c)
     chars = F.filter(F.split(c, ""), lambda x: x != "")
     if step > 0:
         low, high = place(start or 0), n if stop is None else place(stop)
-        return F.array_join(F.filter(chars, lambda x, i: (i >= low) & (i < high) & ((i - low) % step == 0)), "")
-    high, low = (n - 1) if start is None else F.least(place(start), n - 1), F.lit(-1) if stop is None else place(stop)
-    return F.array_join(F.reverse(F.filter(chars, lambda x, i: (i <= high) & (i > low) & ((high - i) % -step == 0))), "")
+        part = F.slice(chars, low + 1, F.greatest(high - low, F.lit(0)))
+    else:
+        high, low = (n - 1) if start is None else F.least(place(start), n - 1), F.lit(-1) if stop is None else place(stop)
+        part = F.reverse(F.slice(chars, low + 2, F.greatest(high - low, F.lit(0))))
+    return F.array_join(F.filter(part, lambda _, i: i % abs(step) == 0), "")
 
 
 def slice_replace(c: Column, start: int = 0, stop: int | None = None, by: str = "") -> Column:

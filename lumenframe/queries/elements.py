@@ -104,10 +104,10 @@ def significant_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "str_case",
-    "SELECT doc_id, lower(t) AS lower, upper(t) AS upper, upper(t[1]) || lower(t[2:]) AS capitalize, length(t) AS len, reverse(t) AS reversed FROM (SELECT doc_id, regexp_replace(text[1:60], '[^a-zA-Z ]', '', 'g') AS t FROM documents)",
+    "SELECT doc_id, lower(t) AS lower, upper(t) AS upper, upper(t[1]) || lower(t[2:]) AS capitalize, length(t) AS len, reverse(t) AS reversed FROM (SELECT doc_id, regexp_replace(text, '[^a-zA-Z ]', '', 'g') AS t FROM documents)",
 )
 def str_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.substring("text", 1, 60), "[^a-zA-Z ]", "").alias("t"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[^a-zA-Z ]", "").alias("t"))
     t = F.col("t")
     return d.select("doc_id", T.lower(t).alias("lower"), T.upper(t).alias("upper"), T.capitalize(t).alias("capitalize"), T.length(t).cast("bigint").alias("len"), T.slice_(t, None, None, -1).alias("reversed"))
 
@@ -126,13 +126,13 @@ def str_title_swapcase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "str_search",
-    "SELECT doc_id, contains(text, 'the ') AS plain, regexp_matches(text, '[0-9]{3,}') AS pattern, starts_with(text, 'T') AS starts, ends_with(text, '.') AS ends, len(regexp_extract_all(text, 'an'))::BIGINT AS n, strpos(text, 'an')::BIGINT - 1 AS find, regexp_matches(text, '^[A-Z][a-z]+ ') AS match, regexp_full_match(text[1:8], '[A-Za-z ]+') AS fullmatch FROM documents",
+    "SELECT doc_id, contains(text, 'the ') AS plain, regexp_matches(text, '[0-9]{3,}') AS pattern, starts_with(text, 'T') AS starts, ends_with(text, '.') AS ends, len(regexp_extract_all(text, 'an'))::BIGINT AS n, strpos(text, 'an')::BIGINT - 1 AS find, regexp_matches(text, '^[A-Z][a-z]+ ') AS match, regexp_full_match(text, '[A-Za-z ]+') AS fullmatch FROM documents",
 )
 def str_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     return table(spark, sf_dir, "documents").select(
         "doc_id", T.contains(t, "the ", False).alias("plain"), T.contains(t, "[0-9]{3,}").alias("pattern"), T.startswith(t, "T").alias("starts"), T.endswith(t, ".").alias("ends"), T.count(t, "an").cast("bigint").alias("n"), T.find(t, "an").cast("bigint").alias("find"),
-        T.match(t, "[A-Z][a-z]+ ").alias("match"), T.fullmatch(F.substring(t, 1, 8), "[A-Za-z ]+").alias("fullmatch"),
+        T.match(t, "[A-Z][a-z]+ ").alias("match"), T.fullmatch(t, "[A-Za-z ]+").alias("fullmatch"),
     )
 
 

@@ -15,22 +15,22 @@ def _orders_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
 
 
-@register("merge_inner", "SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 200000")
+@register("merge_inner", "SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
 def merge_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _orders_small(spark, sf_dir).filter("o_totalprice > 200000")
+    o = _orders_small(spark, sf_dir)
     c = joining.merge(o, table(spark, sf_dir, "customer"), left_on="o_custkey", right_on="c_custkey")
     return joining.merge(c, table(spark, sf_dir, "nation"), left_on="c_nationkey", right_on="n_nationkey").select("o_orderkey", "c_name", "n_name")
 
 
-@register("merge_left", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) ON c_custkey = o_custkey")
+@register("merge_left", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
 def merge_left(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _orders_small(spark, sf_dir).filter("o_totalprice > 400000")
+    o = _orders_small(spark, sf_dir)
     return joining.merge(table(spark, sf_dir, "customer").select("c_custkey"), o, "left", left_on="c_custkey", right_on="o_custkey").select("c_custkey", "o_orderkey")
 
 
-@register("merge_right", "SELECT c_name, o_custkey AS k FROM (SELECT c_custkey AS k, c_name FROM customer WHERE c_acctbal > 5000) c RIGHT JOIN (SELECT DISTINCT o_custkey FROM orders) o ON c.k = o.o_custkey")
+@register("merge_right", "SELECT c_name, o_custkey AS k FROM (SELECT c_custkey AS k, c_name FROM customer) c RIGHT JOIN (SELECT DISTINCT o_custkey FROM orders) o ON c.k = o.o_custkey")
 def merge_right(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").filter("c_acctbal > 5000").select(F.col("c_custkey").alias("k"), "c_name")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_name")
     return joining.merge(c, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")).distinct(), "right", on="k").select("c_name", "k")
 
 
@@ -58,9 +58,9 @@ def merge_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joining.merge(one, one, "cross")
 
 
-@register("merge_semi_anti", "SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) AS big FROM customer")
+@register("merge_semi_anti", "SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS big FROM customer")
 def merge_semi_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, o = table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").filter("o_totalprice > 300000")
+    c, o = table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders")
     semi = joining.merge(c, o, "semi", left_on="c_custkey", right_on="o_custkey").withColumn("big", F.lit(True))
     return semi.union(joining.merge(c, o, "anti", left_on="c_custkey", right_on="o_custkey").withColumn("big", F.lit(False)))
 
