@@ -1,7 +1,7 @@
 """From raw documents to token ids: five stages, each one operator of lumenframe.llm at its production parameters.
 
-The near-duplicate stage takes the parameters that the contract of its operator fixes (three-word shingles, two bits); README gives the recall
-that it has by them.
+The near-duplicate stage is the general form of its operator: five-word shingles at a similarity of 0.8 or more (op5's query has
+three words and two bits by its own contract).
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, the document with the least id."""
-    return simhash.deduplicated(docs)
+    """Of each component of near texts, the document with the least id."""
+    return simhash.without_near_texts(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
