@@ -8,6 +8,7 @@ from hashlib import md5
 
 import pytest
 from compare import connect, differences
+from test_near_texts import connected, sketch
 
 import corpus_pipeline
 from lumenframe.llm import bpe, exact, langid, mixing, queries, simhash
@@ -110,8 +111,7 @@ def test_stages_by_hand(spark, docs, rows, tables):
         if low(r[1]) not in top or (top[low(r[1])] is None or (r[0] is not None and r[0] > top[low(r[1])])):
             top[low(r[1])] = r[0]
     kept = [r for r in kept if top[low(r[1])] == r[0]]
-    prints = dict(zip([r[0] for r in kept], simhash_prints([r[1] for r in kept]), strict=True))
-    label = components({i: p for i, p in prints.items() if i is not None})
+    label = connected({r[0]: sketch(r[1]) for r in kept if r[0] is not None})
     kept = [r for r in kept if r[0] is None or label[r[0]] == r[0]]
     mixed = Counter()
     for (i, n, _, _, taken), times in brute(kept).items():
@@ -123,33 +123,12 @@ def test_stages_by_hand(spark, docs, rows, tables):
     assert all(r.n_tokens == tokens[r.doc_id] for r in out)
 
 
-def simhash_prints(texts: list[str]) -> list[int]:
-    import pyarrow as pa
-
-    from lumenframe.llm import spans
-
-    raw, at = spans.flat(pa.array(texts))
-    return [int(x) for x in simhash.fingerprints_of(raw, at)]
-
-
-def components(prints: dict) -> dict:
-    label = {i: i for i in prints}
-    changed = True
-    while changed:
-        changed = False
-        for a in prints:
-            for b in prints:
-                if label[a] > label[b] and (prints[a] ^ prints[b]).bit_count() <= 2:
-                    label[a], changed = label[b], True
-    return label
-
-
 def test_pipeline_of_nothing(spark, empty, tmp_path):
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_each_stage_takes_odd_tables(spark, wide, all_null):
-    for stage in (langid.accepted, exact.deduplicated, simhash.deduplicated, mixing.mixture):
+    for stage in (langid.accepted, exact.deduplicated, simhash.without_near_texts, mixing.mixture):
         assert stage(wide).columns == wide.columns
         assert stage(all_null).count() <= 2
