@@ -24,10 +24,12 @@ def long_docs(spark):
     return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(2).cache()
 
 
-def test_copies_of_long_texts(long_docs):
+def test_copies_of_long_texts(spark, long_docs):
     assert {r.doc_id: r.keep_id for r in exact.exact_duplicates(long_docs).collect()} == {1: 3, 2: 2, 3: 3, 4: 4, 5: 5}
     found = {r.doc_id: r.component_id for r in simhash.near_duplicates(long_docs).collect()}
     assert found[1] == found[3] == 1 and found[2] == 2
+    near = long_docs.union(spark.createDataFrame([(6, long_text(1).replace("\n", " new\n", 900), "en", "x")], long_docs.schema))
+    assert {r.doc_id: r.component_id for r in simhash.near_texts(near).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 1}
     prints = {r.doc_id: (r.root, r.fingerprint) for r in merkle.fingerprints(long_docs).collect()}
     assert prints[1] == prints[3] != prints[2]
 
