@@ -704,7 +704,7 @@ class Series:
 
     def corr(self, other: Series) -> float:
         sdf, c = self.frame._onto(other)
-        return sdf.agg(F.corr(self.col.cast("double"), c.cast("double"))).first()[0]
+        return sdf.agg(S.corr(self.col, c)).first()[0]
 
     def cov(self, other: Series, ddof: int = 1) -> float:
         sdf, c = self.frame._onto(other)

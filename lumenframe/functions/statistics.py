@@ -113,6 +113,14 @@ def covar(a: Column, b: Column, ddof: int = 1) -> Column:
     return F.covar_pop(a, b) if ddof == 0 else F.covar_pop(a, b) * n / F.when(n > ddof, n - ddof)
 
 
+def corr(a: Column, b: Column, over: Callable[[Column], Column] = lambda c: c) -> Column:
+    """Pearson's correlation of the rows where both are there; missing where one of them does not vary, for which Spark's own
+    aggregate divides by zero. `over` puts each of its parts into a frame."""
+    x, y = F.when(b.isNotNull(), a.cast("double")), F.when(a.isNotNull(), b.cast("double"))
+    p, q = over(F.var_pop(x)), over(F.var_pop(y))
+    return F.when((p > 0) & (q > 0), over(F.covar_pop(x, y)) / (F.sqrt(p) * F.sqrt(q)))
+
+
 def entropy(p: Column, base: float = 2.718281828459045) -> Column:
     import math
 

@@ -141,7 +141,7 @@ def corr(df: DataFrame, columns: Sequence[str] | None = None, method: str = "pea
         return _kendall(df, columns)
     if method == "spearman":
         df = _spearman_ranks(df, columns)
-    return _pairs(df, columns, F.corr, "corr", min_periods)
+    return _pairs(df, columns, S.corr, "corr", min_periods)
 
 
 def cov(df: DataFrame, columns: Sequence[str] | None = None, ddof: int = 1, min_periods: int = 1) -> DataFrame:
@@ -248,7 +248,7 @@ def _kendall(df: DataFrame, columns: list[str]) -> DataFrame:
 def autocorr(df: DataFrame, column: str, order: Sequence[str], lag: int = 1) -> DataFrame:
     from lumenframe.operators.windowing import shift
 
-    return shift(df, order, {"__lag": column}, lag).agg(F.corr(column, "__lag").alias("autocorr"))
+    return shift(df, order, {"__lag": column}, lag).agg(S.corr(F.col(f"`{column}`"), F.col("__lag")).alias("autocorr"))
 
 
 def is_unique(df: DataFrame, column: str) -> DataFrame:

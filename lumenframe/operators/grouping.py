@@ -92,7 +92,7 @@ class Groups:
         return n
 
     def corr(self, a: str, b: str) -> DataFrame:
-        return self._done(self.df.groupBy(*self.by).agg(F.corr(a, b).alias("corr")))
+        return self._done(self.df.groupBy(*self.by).agg(S.corr(F.col(f"`{a}`"), F.col(f"`{b}`")).alias("corr")))
 
     def cov(self, a: str, b: str, ddof: int = 1) -> DataFrame:
         return self._done(self.df.groupBy(*self.by).agg(S.covar(F.col(a), F.col(b), ddof).alias("cov")))
@@ -218,7 +218,7 @@ class Groups:
         return windowing.is_monotonic(self.df, self.order, column, increasing, strict, self.by)
 
     def corrwith(self, columns: Sequence[str], other: str) -> DataFrame:
-        return self._done(self.df.groupBy(*self.by).agg(*[F.corr(c, other).alias(c) for c in columns]))
+        return self._done(self.df.groupBy(*self.by).agg(*[S.corr(F.col(f"`{c}`"), F.col(f"`{other}`")).alias(c) for c in columns]))
 
     def mode(self, column: str) -> DataFrame:
         """All commonest values of each group."""

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenframe.functions import statistics as S
 from lumenframe.plans.ordering import scan
 
 Names = str | Sequence[str]
@@ -208,7 +209,7 @@ def corrwith(left: DataFrame, right: DataFrame, index: Names, columns: Sequence[
     """One row: the correlation of each column with its namesake, over the rows that both index."""
     on = names(index)
     keyed = right.select(*on, *[F.col(f"`{c}`").alias(f"__r_{c}") for c in columns])
-    return left.join(keyed, on).agg(*[F.corr(f"`{c}`", f"`__r_{c}`").alias(c) for c in columns])
+    return left.join(keyed, on).agg(*[S.corr(F.col(f"`{c}`"), F.col(f"`__r_{c}`")).alias(c) for c in columns])
 
 
 def positional(left: DataFrame, right: DataFrame, left_order: Sequence[str], right_order: Sequence[str]) -> DataFrame:

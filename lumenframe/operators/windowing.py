@@ -40,7 +40,7 @@ def _over(name: str, c: Column, w: WindowSpec, min_periods: int, q: float = 0.5,
     elif name in ("median", "quantile"):
         value = F.percentile(c, F.lit(q)).over(w)
     elif name == "corr":
-        value = F.corr(c, other).over(w)
+        value = S.corr(c, other, lambda a: a.over(w))
     elif name == "cov":
         value = F.covar_samp(c, other).over(w)
     elif name == "nunique":
