@@ -57,7 +57,10 @@ def floordiv(a: Value, b: Value, fill: Value = None) -> Column:
     """Floor of the quotient, a double; a zero divisor gives what true division gives."""
     a, b = _filled(a, b, fill)
     a, b = a.cast("double"), b.cast("double")
-    return F.when(b != 0, F.floor(a / b).cast("double")).when((b == 0) & (a != 0), F.signum(a) * F.lit(math.inf))
+    q = a / b
+    # a quotient that is zero keeps its sign, one past 2^52 has no fraction and need not fit a bigint
+    down = F.when((q == 0) | ~(F.abs(q) < 1 << 52), q).otherwise(F.floor(q).cast("double"))
+    return F.when(b != 0, down).when((b == 0) & (a != 0), F.signum(a) * F.lit(math.inf))
 
 
 def mod(a: Value, b: Value, fill: Value = None) -> Column:

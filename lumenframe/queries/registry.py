@@ -42,8 +42,10 @@ EVENTS = "e AS (SELECT *, CASE WHEN event_id % 7 <> 0 THEN value END AS v FROM e
 
 
 def r(c: Column | str, digits: int = 6) -> Column:
-    """Rounded double, so that sums in any order compare."""
-    return F.round((F.col(c) if isinstance(c, str) else c).cast("double"), digits)
+    """Rounded double, so that sums in any order compare. What rounds to zero keeps its sign, as it does in SQL."""
+    x = (F.col(c) if isinstance(c, str) else c).cast("double")
+    near = F.round(x, digits)
+    return F.when(near == 0, x * 0.0).otherwise(near)
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
