@@ -519,7 +519,7 @@ class Vector:
         return self._window(windowing.shift, periods=n)
 
     def pct_change(self, n: int = 1) -> Vector:
-        return self._window(windowing.pct_change, periods=n)
+        return self._window(windowing.pct_change, periods=n, infinite=True)
 
     def _running(self, how: str) -> Vector:
         return self._ordered(lambda sdf, v: windowing.cumulative(sdf, self.table.order, {"__w": (how, v)}), "__w")

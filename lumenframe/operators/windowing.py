@@ -17,6 +17,7 @@ from pyspark.sql.window import Window, WindowSpec
 
 from lumenframe.functions import statistics as S
 from lumenframe.functions.dates import micros
+from lumenframe.functions.elementwise import truediv
 from lumenframe.plans.ordering import hot, keys, placed, sampled_bounds, scan, sliding
 
 Order = Sequence[str | Column]
@@ -370,11 +371,16 @@ def diff(df: DataFrame, order: Order, columns: dict[str, str], periods: int = 1,
     return sliding(df, order, made, max(0, periods), max(0, -periods), by)
 
 
-def pct_change(df: DataFrame, order: Order, columns: dict[str, str], periods: int = 1, by: Sequence[str] = ()) -> DataFrame:
-    """Relative change against the value `periods` rows before; gaps are filled from before first."""
+def pct_change(df: DataFrame, order: Order, columns: dict[str, str], periods: int = 1, by: Sequence[str] = (), infinite: bool = False) -> DataFrame:
+    """Relative change against the value `periods` rows before; gaps are filled from before first. Against a zero it is missing,
+    or, if `infinite`, what IEEE division gives: infinite with the sign of the value, missing for a zero."""
     filled = scan(df, order, {f"__f_{n}": ("last", F.col(f"`{c}`")) for n, c in columns.items()}, by)
-    made = {n: (lambda w, n=n: F.col(f"__f_{n}") / F.nullif(F.lag(f"__f_{n}", periods).over(w), F.lit(0)) - 1) for n in columns}
-    return sliding(filled, order, made, periods, 0, by).drop(*[f"__f_{n}" for n in columns])
+
+    def made(n: str) -> Callable[[WindowSpec], Column]:
+        before = lambda w: F.lag(f"__f_{n}", periods).over(w)
+        return (lambda w: truediv(F.col(f"__f_{n}"), before(w)) - 1) if infinite else lambda w: F.col(f"__f_{n}") / F.nullif(before(w), F.lit(0)) - 1
+
+    return sliding(filled, order, {n: made(n) for n in columns}, periods, 0, by).drop(*[f"__f_{n}" for n in columns])
 
 
 def rank(df: DataFrame, column: str, name: str = "rank", method: str = "average", ascending: bool = True, pct: bool = False, by: Sequence[str] = (), order: Order = (), na_option: str = "keep") -> DataFrame:
