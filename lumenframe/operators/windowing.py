@@ -18,7 +18,7 @@ from pyspark.sql.window import Window, WindowSpec
 from lumenframe.functions import statistics as S
 from lumenframe.functions.dates import micros
 from lumenframe.functions.elementwise import truediv
-from lumenframe.plans.ordering import hot, keys, placed, sampled_bounds, scan, sliding
+from lumenframe.plans.ordering import SCANS, hot, keys, placed, sampled_bounds, scan, sliding
 
 Order = Sequence[str | Column]
 
@@ -67,8 +67,9 @@ def rolling(
 
     Row frames: `window` rows that end at the row (or are centred on it), min_periods = window by default. Time frames need
     `on`, a timestamp that the order starts with; min_periods = 1; `closed` is right, left, both or neither. `step` keeps
-    every step-th row. Time frames over the whole table, or with hot groups, are dealt by sampled ranges of time that are no
-    shorter than the frame, with its reach as overlap.
+    every step-th row. Sums, counts, means, variances and extremes over time frames take time in proportion to the rows, however
+    many are in a frame (see _by_cells). The other aggregates look at each frame's rows: over the whole table, or with hot
+    groups, they are dealt by sampled ranges of time that are no shorter than the frame, with its reach as overlap.
     """
     if isinstance(window, str):
         return _rolling_time(df, window, aggs, by, 1 if min_periods is None else min_periods, closed or "right", on or next(c for c in order if isinstance(c, str)))
@@ -104,12 +105,84 @@ def span_micros(text: str) -> int:
     return int(digits or 1) * {**UNITS, "d": UNITS["D"], "H": UNITS["h"], "T": UNITS["min"], "S": UNITS["s"], "W": 7 * UNITS["D"]}[unit]
 
 
+#: Aggregates that two parts of a frame give together, with what must be known of each part.
+_PARTS = {"count": (), "sum": ("sum",), "mean": ("sum",), "min": ("min",), "max": ("max",), "prod": ("prod",), "var": ("mean", "square"), "std": ("mean", "square"), "sem": ("mean", "square")}
+
+
+def _by_cells(df: DataFrame, aggs: dict[str, tuple], groups: Sequence[str], low: int, high: int, least: int) -> DataFrame:
+    """`df` with aggregates over the rows from `low` to `high` microseconds off each row's __us.
+
+    Time is cut into cells as long as the frame, so a frame is the end of one cell and the start of the next: two running
+    results, one back from the end of a cell and one on from its start, neither of which looks at a row twice. A row asks for
+    both at the times where its frame begins and ends, as a guest among the rows of that cell. Nothing is subtracted, so large
+    values that have left the frame leave no error behind. The rows of a cell, in a group, are a task's unit.
+    """
+    span, us = F.lit(high - low + 1).cast("bigint"), F.col("__us")
+    cell = lambda t: t - F.pmod(t, span)
+    columns = {c: F.col(f"`{c}`") for c in dict.fromkeys(x[1] for x in aggs.values())}
+    kinds = {c: {"rows", "count"}.union(*[_PARTS[x[0]] for x in aggs.values() if x[1] == c]) for c in columns}
+
+    def running(w: WindowSpec, tag: str, own: Column | None) -> dict[str, Column]:
+        made = {}
+        for k, (c, v) in enumerate(columns.items()):
+            v = v if own is None else F.when(own, v)
+            rows = F.count(F.lit(1) if own is None else F.when(own, 1)).over(w)
+            all_of = {"rows": rows, "count": F.count(v).over(w), "sum": F.sum(v).over(w), "min": F.min(v).over(w), "max": F.max(v).over(w)}
+            all_of |= {"prod": F.product(v).over(w), "mean": F.avg(v.cast("double")).over(w), "square": F.var_pop(v).over(w) * F.count(v).over(w)}
+            made |= {f"__{tag}{k}_{x}": all_of[x] for x in sorted(kinds[c])}
+        return made
+
+    def asked(df: DataFrame, at: Column, home: Column, tag: str, back: bool) -> DataFrame:
+        """Each row with the running results of the cell `home` up to the time `at`."""
+        seat = lambda c, t, asks: F.struct(c.alias("cell"), t.alias("time"), F.lit(asks).alias("asks"))
+        seated = df.withColumn("__seat", F.explode(F.array(seat(cell(us), us, False), seat(home, at, True))))
+        time = F.col("__seat.time")
+        w = Window.partitionBy(*groups, F.col("__seat.cell")).orderBy(time.desc() if back else time).rangeBetween(Window.unboundedPreceding, 0)
+        return seated.withColumns(running(w, tag, ~F.col("__seat.asks"))).filter("__seat.asks").drop("__seat")
+
+    end = us + high
+    out = asked(df, us + low, cell(end) - span, "a", True)
+    if high == 0:
+        w = Window.partitionBy(*groups, cell(us)).orderBy("__us").rangeBetween(Window.unboundedPreceding, 0)
+        out = out.withColumns(running(w, "b", None))
+    else:
+        out = asked(out, end, cell(end), "b", False)
+    made = {}
+    for n, (name, c, *_) in aggs.items():
+        k = list(columns).index(c)
+        # rows without a time are peers of one another, and their frame is all of them
+        a, b = (lambda x, k=k: F.when(us.isNotNull(), F.col(f"__a{k}_{x}"))), (lambda x, k=k: F.col(f"__b{k}_{x}"))
+        n1, n2 = F.coalesce(a("count"), F.lit(0)), b("count")
+        count = n1 + n2
+        if name in ("sum", "prod", "min", "max"):
+            value = SCANS[name][2](a(name), b(name))
+        elif name == "mean":
+            value = SCANS["sum"][2](a("sum"), b("sum")) / F.when(count > 0, count)
+        else:
+            d = count.cast("double")
+            off = b("mean") - a("mean")
+            square = F.coalesce(a("square") + b("square") + off * off * n1 * n2 / F.when(count > 0, d), a("square"), b("square"))
+            v = square / F.when(count > 1, d - 1)
+            value = v if name == "var" else F.sqrt(v) if name == "std" else F.sqrt(v) / F.sqrt(d)
+        if name == "count":
+            made[n] = F.when(F.coalesce(a("rows"), F.lit(0)) + b("rows") >= least, count.cast("double"))
+        else:
+            made[n] = F.when(count >= least, value)
+    return out.withColumns(made).drop(*[f"__{t}{k}_{x}" for t in "ab" for k, c in enumerate(columns) for x in kinds[c]])
+
+
 def _rolling_time(df: DataFrame, window: str, aggs: dict[str, tuple], by: Sequence[str], least: int, closed: str, on: str) -> DataFrame:
     reach = span_micros(window)
     low = -reach + (0 if closed in ("left", "both") else 1)
     high = -1 if closed in ("left", "neither") else 0
     groups = list(by)
     dealt = df.withColumn("__us", micros(F.col(f"`{on}`")))
+    quick = {n: x for n, x in aggs.items() if x[0] in _PARTS} if high - low >= 0 else {}
+    if quick:
+        dealt = _by_cells(dealt, quick, groups, low, high, least)
+    aggs = {n: x for n, x in aggs.items() if n not in quick}
+    if not aggs:
+        return dealt.drop("__us")
     apart = not groups or hot(df, groups)
     if apart:
         bounds = []
