@@ -7,13 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenframe.functions import elementwise as E
 from lumenframe.functions import statistics as S
+from lumenframe.functions.dates import micros
 from lumenframe.operators import aggregating, joining, resampling, reshaping, selecting, sorting, udfs, windowing
 from lumenframe.operators.grouping import Groups
 from lumenframe.plans.ordering import POSITION, positions, scan
@@ -575,29 +575,34 @@ class Vector:
     def ewm(self, how: str, by: Sequence[str], **options: object) -> Vector:
         return self._ordered(lambda sdf, v: windowing.ewm(sdf, self.table.order, v, "__w", by, how=how, **options), "__w")
 
+    def ewms(self, hows: Sequence[str], by: Sequence[str], **options: object) -> Table:
+        """The rows with a column for each of mean, var, std, which share one pass over the groups."""
+        return self.table._new(windowing.ewms(self.table.sdf.withColumn("__vec", self.col), self.table.order, "__vec", {h: h for h in hows}, by, **options).drop("__vec"))
+
     def ewm_mean_by(self, times: str, half_life: str, by: Sequence[str]) -> Vector:
         """Weights halve over each half life of the time that passed; inside groups."""
         import numpy as np
-        from pyspark.sql.types import DoubleType, StructField, StructType
 
         life = windowing.span_micros(half_life)
 
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(times, kind="stable")
-            at = pdf[times].astype("datetime64[us]").astype("int64").to_numpy()
-            out, now, last = [], None, None
-            for t, x in zip(at, pdf["__vec"].to_numpy(float), strict=True):
-                if x == x:
-                    share = 1.0 if now is None else 1 - float(np.exp2(-(t - last) / life))
-                    now, last = (x if now is None else share * x + (1 - share) * now), t
-                    out.append(now)
-                else:
-                    out.append(None)
-            pdf["__w"] = out
-            return pdf
+        def run(given: dict[str, np.ndarray], group: np.ndarray) -> dict[str, np.ndarray]:
+            out = np.full(len(group), np.nan)
+            has = np.flatnonzero(~np.isnan(given["x"]))
+            at, of = given["at"][has], group[has]
+            fade = np.exp2(-np.diff(at, prepend=at[:1]) / life)
+            fade[np.flatnonzero(np.diff(of, prepend=-1))] = 0.0
+            now, made = 0.0, []
+            for x, f in zip(given["x"][has].tolist(), fade.tolist(), strict=True):
+                now = (1 - f) * x + (f * now if f else 0.0)
+                made.append(now)
+            out[has] = made
+            return {"__w": out}
 
         def f(sdf: DataFrame, v: str) -> DataFrame:
-            return sdf.groupBy(*by).applyInPandas(run, StructType([*sdf.schema.fields, StructField("__w", DoubleType())]))
+            timed = sdf.withColumns({"__at": micros(F.col(f"`{times}`")), "__x": F.col(v).cast("double")})
+            # ties of time keep the order of the table
+            order = [times, *[c for c in self.table.order if c != times]]
+            return windowing.of_groups(timed, by, order, {"at": "__at", "x": "__x"}, run, ["__w"]).drop("__at", "__x")
 
         return self._ordered(f, "__w")
 

@@ -406,15 +406,57 @@ def ewm(df: DataFrame, order: Sequence[str], column: str, name: str, by: Sequenc
         alpha = 2 / (span + 1) if span is not None else 1 / (1 + com) if com is not None else 1 - float(np.exp(-np.log(2) / halflife))
     if not by:
         return _ewm_whole(df, order, column, name, alpha, adjust, how, bias)
-    schema = StructType([*df.schema.fields, StructField(name, DoubleType())])
+    return ewms(df, order, column, {name: how}, by, alpha, adjust, bias)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), kind="stable")
-        e = pdf[column].astype(float).ewm(alpha=alpha, adjust=adjust)
-        pdf[name] = e.mean() if how == "mean" else getattr(e, how)(bias=bias)
-        return pdf
 
-    return df.groupBy(*by).applyInPandas(run, schema)
+def ewms(df: DataFrame, order: Sequence[str], column: str, names: dict[str, str], by: Sequence[str], alpha: float, adjust: bool = True, bias: bool = False) -> DataFrame:
+    """Several exponentially weighted results, {name: mean, var or std}, in one pass over the groups."""
+
+    def run(given: dict[str, np.ndarray], group: np.ndarray) -> dict[str, np.ndarray]:
+        e = pd.Series(given[column]).groupby(group, sort=False).ewm(alpha=alpha, adjust=adjust)
+        return {n: (e.mean() if how == "mean" else getattr(e, how)(bias=bias)).to_numpy() for n, how in names.items()}
+
+    return of_groups(df.withColumn("__x", F.col(f"`{column}`").cast("double")), by, order, {column: "__x"}, run, list(names)).drop("__x")
+
+
+def of_groups(df: DataFrame, by: Sequence[str], order: Order, columns: dict[str, str], func: Callable[[dict[str, np.ndarray], np.ndarray], dict[str, np.ndarray]], names: Sequence[str]) -> DataFrame:
+    """`df` with double columns from a Python function of whole groups in their order, many groups in a call.
+
+    `func` gets {name: values} of the numeric `columns` (missing ones are NaN) and the number of the group of each row, rising
+    from 0, and gives an array for each of `names`. Rows stay in Arrow; a group that goes on in the next batch is held until
+    it ends.
+    """
+    import pyarrow as pa
+
+    schema = StructType([*df.schema.fields, *[StructField(n, DoubleType()) for n in names]])
+    given, wanted = dict(columns), list(names)
+
+    def done(parts: list) -> object:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        group = np.cumsum(t.column("__k").to_numpy() == 1) - 1
+        made = func({n: t.column(c).to_numpy() for n, c in given.items()}, group)
+        t = t.drop_columns(["__k"])
+        for n in wanted:
+            t = t.append_column(n, pa.array(np.asarray(made[n], np.float64), pa.float64(), from_pandas=True))
+        return t.to_batches()
+
+    def run(batches: object) -> object:
+        held: list = []
+        for b in batches:
+            starts = np.flatnonzero(b.column(b.schema.get_field_index("__k")).to_numpy(zero_copy_only=False) == 1)
+            if not len(starts):
+                held.append(b)
+                continue
+            cut = int(starts[-1])
+            held += [b.slice(0, cut)] if cut else []
+            if held:
+                yield from done(held)
+            held = [b.slice(cut)]
+        if held:
+            yield from done(held)
+
+    placed = df.withColumn("__k", F.row_number().over(Window.partitionBy(*[F.col(f"`{c}`") for c in by]).orderBy(*keys(order))))
+    return placed.mapInArrow(run, schema)
 
 
 def cumulative(df: DataFrame, order: Order, columns: dict[str, tuple[str, str]], by: Sequence[str] = ()) -> DataFrame:
@@ -606,4 +648,4 @@ def is_monotonic(df: DataFrame, order: Order, column: str, increasing: bool = Tr
     return (checked.groupBy(*by) if by else checked.groupBy()).agg(F.bool_and("__fine").alias("is_monotonic"))
 
 
-__all__ = ["S", "cumcount", "cumulative", "diff", "ewm", "expanding", "fill", "interpolate", "is_monotonic", "pct_change", "peaks", "rank", "rolling", "rolling_apply", "run_lengths", "runs", "shift", "weighted"]
+__all__ = ["S", "cumcount", "cumulative", "diff", "ewm", "ewms", "expanding", "fill", "interpolate", "is_monotonic", "of_groups", "pct_change", "peaks", "rank", "rolling", "rolling_apply", "run_lengths", "runs", "shift", "weighted"]

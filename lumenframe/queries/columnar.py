@@ -288,7 +288,7 @@ def vector_shrink(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def vector_ewm(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _events(spark, sf_dir)["value"]
-    out = _beside(*[_of(v.ewm(how, ["user_id"], alpha=0.3), how, "event_id") for how in ("mean", "var", "std")])
+    out = v.ewms(("mean", "var", "std"), ["user_id"], alpha=0.3).sdf.select("event_id", "mean", "var", "std")
     return rounded(rounded(rounded(out, "mean", digits=5), "var", digits=1), "std", digits=2)
 
 
