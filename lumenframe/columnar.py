@@ -569,8 +569,8 @@ class Vector:
     def rolling_quantile(self, q: float, window: int) -> Vector:
         return self._rolling("quantile", window, None, False, float(q))
 
-    def rolling_map(self, func: Callable, window: int) -> Vector:
-        return self._ordered(lambda sdf, v: windowing.rolling_apply(sdf, self.table.order, window, v, func, "__w"), "__w")
+    def rolling_map(self, func: Callable, window: int, raw: bool = False) -> Vector:
+        return self._ordered(lambda sdf, v: windowing.rolling_apply(sdf, self.table.order, window, v, func, "__w", raw=raw), "__w")
 
     def ewm(self, how: str, by: Sequence[str], **options: object) -> Vector:
         return self._ordered(lambda sdf, v: windowing.ewm(sdf, self.table.order, v, "__w", by, how=how, **options), "__w")

@@ -221,7 +221,7 @@ def vector_rle(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("vector_rolling_quantile", "SELECT event_id, CASE WHEN i >= 5 THEN round(quantile_cont(value, 0.25) OVER w, 6) END AS q, CASE WHEN i >= 5 THEN round(max(value) OVER w - min(value) OVER w, 6) END AS spread FROM (SELECT *, row_number() OVER (ORDER BY event_id) AS i FROM events) WINDOW w AS (ORDER BY event_id ROWS 4 PRECEDING)")
 def vector_rolling_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _events(spark, sf_dir)["value"]
-    return rounded(_beside(_of(v.rolling_quantile(0.25, 5), "q", "event_id"), _of(v.rolling_map(lambda x: float(x.max() - x.min()), 5), "spread", "event_id")), "q", "spread")
+    return rounded(_beside(_of(v.rolling_quantile(0.25, 5), "q", "event_id"), _of(v.rolling_map(lambda x: float(x.max() - x.min()), 5, raw=True), "spread", "event_id")), "q", "spread")
 
 
 @register("vector_search", "SELECT (SELECT count(*) FROM orders WHERE o_totalprice < 50000)::BIGINT AS a, (SELECT count(*) FROM orders WHERE o_totalprice < 150000)::BIGINT AS b, true AS sorted, false AS mixed")

@@ -79,7 +79,7 @@ def rolling_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("rolling_apply", "SELECT event_id, CASE WHEN count(value) OVER w >= 4 THEN round(max(value) OVER w - min(value) OVER w, 6) END AS spread FROM events WINDOW w AS (ORDER BY event_id ROWS 3 PRECEDING)")
 def rolling_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(windowing.rolling_apply(table(spark, sf_dir, "events"), ORDER, 4, "value", lambda s: s.max() - s.min(), "spread"), "spread").select("event_id", "spread")
+    return rounded(windowing.rolling_apply(table(spark, sf_dir, "events"), ORDER, 4, "value", lambda s: s.max() - s.min(), "spread", raw=True), "spread").select("event_id", "spread")
 
 
 @register("window_weighted", "SELECT event_id, CASE WHEN count(value) OVER w >= 3 THEN round((0.5 * lag(value, 2) OVER o + 1.0 * lag(value) OVER o + 0.5 * value) / 2.0, 6) END AS m, CASE WHEN count(value) OVER w >= 3 THEN round(0.5 * lag(value, 2) OVER o + 1.0 * lag(value) OVER o + 0.5 * value, 6) END AS s FROM events WINDOW w AS (ORDER BY event_id ROWS 2 PRECEDING), o AS (ORDER BY event_id)")
