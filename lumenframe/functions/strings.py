@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import textwrap
+import unicodedata
+from collections.abc import Callable, Mapping
 
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 _META = set(r"\.[]{}()<>*+-=!?^$|")
@@ -298,21 +300,31 @@ def decode(c: Column, encoding: str = "utf-8") -> Column:
     return F.decode(c, encoding)
 
 
-def normalize(c: Column, form: str = "NFC") -> Column:
-    """Unicode normal form; no built-in has it, so batches go through Arrow."""
+#: Bytes of whole texts in an Arrow batch, at most; one text that is longer is a batch of its own.
+BATCH_BYTES = 16 << 20
 
-    @F.pandas_udf("string")  # type: ignore[call-overload]
-    def run(s: pd.Series) -> pd.Series:
-        return s.str.normalize(form)
 
-    return run(c)
+def _texts(f: Callable[[str], str]) -> Callable[[Column], Column]:
+    """A Python function of whole texts. Batches are bounded by bytes, for this session from now on, as plans are lazy, and a
+    text at a time is a Python object."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
+    @F.arrow_udf("string")  # type: ignore[call-overload]
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array((f(x.as_py()) if x.is_valid else None for x in texts), pa.string())
+
+    return run
 
-def wrap(c: Column, width: int) -> Column:
-    """Lines of at most `width` characters; batches go through Arrow."""
 
-    @F.pandas_udf("string")  # type: ignore[call-overload]
-    def run(s: pd.Series) -> pd.Series:
-        return s.str.wrap(width)
+def normalize(c: Column, form: str = "NFC") -> Column:
+    """Unicode normal form. No built-in has it, so texts go through Arrow, but for those whose code points show that they have
+    it: all below U+0300 for NFC, ASCII for the others."""
+    other = c.rlike("[^\\x00-\\u02ff]" if form == "NFC" else "[^\\x00-\\x7f]")
+    return F.when(other, _texts(lambda s: unicodedata.normalize(form, s))(F.when(other, c))).otherwise(c)
+
 
-    return run(c)
+def wrap(c: Column, width: int) -> Column:
+    """Lines of at most `width` characters; texts go through Arrow."""
+    return _texts(lambda s: "\n".join(textwrap.wrap(s, width)))(c)
