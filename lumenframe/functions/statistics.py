@@ -115,10 +115,15 @@ def covar(a: Column, b: Column, ddof: int = 1) -> Column:
 
 def corr(a: Column, b: Column, over: Callable[[Column], Column] = lambda c: c) -> Column:
     """Pearson's correlation of the rows where both are there; missing where one of them does not vary, for which Spark's own
-    aggregate divides by zero. `over` puts each of its parts into a frame."""
+    aggregate divides by zero. `over` puts each of its parts into a frame.
+
+    Whether a column varies is read from its extremes: where parts of equal values are merged, their variance may be a little
+    above zero. Sums are taken in the steps and the order of SQL's corr(a, b), so that a frame gives the same bits.
+    """
     x, y = F.when(b.isNotNull(), a.cast("double")), F.when(a.isNotNull(), b.cast("double"))
-    p, q = over(F.var_pop(x)), over(F.var_pop(y))
-    return F.when((p > 0) & (q > 0), over(F.covar_pop(x, y)) / (F.sqrt(p) * F.sqrt(q)))
+    p, q = over(F.covar_pop(x, x)), over(F.covar_pop(y, y))
+    varies = (over(F.min(x)) < over(F.max(x))) & (over(F.min(y)) < over(F.max(y)))
+    return F.when(varies & (p > 0) & (q > 0), over(F.covar_pop(y, x)) / (F.sqrt(p) * F.sqrt(q)))
 
 
 def entropy(p: Column, base: float = 2.718281828459045) -> Column:
