@@ -231,6 +231,8 @@ def expanding(df: DataFrame, order: Order, aggs: dict[str, tuple], by: Sequence[
             both = x.isNotNull() & F.col(f"`{more[0]}`").isNotNull()
             p, q = F.when(both, less_mean(c)), F.when(both, less_mean(more[0]))
             runs |= {f"__n_{n}": ("count", p), f"__p_{n}": ("sum", p), f"__q_{n}": ("sum", q), f"__pq_{n}": ("sum", p * q), f"__pp_{n}": ("sum", p * p), f"__qq_{n}": ("sum", q * q)}
+            if name == "corr":
+                runs |= {f"__{k}{m}_{n}": (k, v) for m, v in (("p", p), ("q", q)) for k in ("min", "max")}
             continue
         runs[f"__n_{n}"] = ("count", x)
         if name in ("sum", "mean"):
@@ -253,7 +255,12 @@ def expanding(df: DataFrame, order: Order, aggs: dict[str, tuple], by: Sequence[
         elif name in ("cov", "corr"):
             p, q, pq, pp, qq = (F.col(f"__{k}_{n}") for k in ("p", "q", "pq", "pp", "qq"))
             shared, one, two = pq - p * q / d, pp - p * p / d, qq - q * q / d
-            value = shared / F.when(d > 1, d - 1) if name == "cov" else shared / F.when((one > 0) & (two > 0), F.sqrt(one * two))
+            if name == "cov":
+                value = shared / F.when(d > 1, d - 1)
+            else:
+                # differences of sums of equal values are not quite zero
+                varies = (F.col(f"__minp_{n}") < F.col(f"__maxp_{n}")) & (F.col(f"__minq_{n}") < F.col(f"__maxq_{n}"))
+                value = F.when(varies & (one > 0) & (two > 0), shared / (F.sqrt(one) * F.sqrt(two)))
         else:
             value = F.col(f"__s_{n}")
         out[n] = F.when(count >= min_periods, value)
